@@ -71,7 +71,8 @@ def norm_text(col: Column, placeholder: str = PLACEHOLDER) -> Column:
     """Canonical upper-case ASCII label without bracketed suffixes; blanks become the placeholder."""
     bare = F.trim(F.regexp_replace(col, r"\(.*?\)", ""))
     text = F.regexp_replace(ascii_fold(F.upper(bare)), r"\s+", " ")
-    return F.when(text.isNull() | text.isin("", "NAN"), F.lit(placeholder)).otherwise(text)
+    # One reference to `text` keeps the expression small: blanks are replaced by pattern.
+    return F.coalesce(F.regexp_replace(text, "^(NAN)?$", placeholder), F.lit(placeholder))
 
 
 def unaccent_lower(col: Column) -> Column:

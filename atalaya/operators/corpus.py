@@ -12,7 +12,7 @@ from atalaya.operators import funnel
 from atalaya.operators.serve import category_ranking
 
 # White space as a Unicode-aware split sees it.
-WHITE_SPACE = r"[\s\u0085   -     　\x1c-\x1f]+"
+WHITE_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
 # Wording of the cards.
 TERRITORY_CARD = (
     "Municipio: %s (%s), código DANE %s. Total de hechos registrados: %d entre %d y %d, en %d "

@@ -15,6 +15,7 @@ from atalaya.constants import (
     CATEGORY_HINTS, FORECAST_STEMS, FUZZY_CUTOFF, FUZZY_MARGIN, FUZZY_MIN_LEN, TOKEN_MIN_LEN,
 )
 from atalaya.functions import ascii_fold, words
+from atalaya.session import cut_lineage
 
 NAME_COLUMNS = ["cod_municipio", "municipio", "departamento"]
 
@@ -165,9 +166,10 @@ def resolve(queries: DataFrame, names: DataFrame, panel: DataFrame | None = None
 
     An ambiguous token match ends the search without a result.
     """
-    phrase = match_phrase(queries, names, key).withColumn("via", F.lit("frase"))
+    # Each rung feeds both the result and the filter of the next one: it is stored, not replayed.
+    phrase = cut_lineage(match_phrase(queries, names, key).withColumn("via", F.lit("frase")))
     rest = queries.join(phrase.select(key), key, "left_anti")
-    tokens = token_candidates(rest, names, key)
+    tokens = cut_lineage(token_candidates(rest, names, key))
     by_token = tokens.where("NOT ambiguo").drop("ambiguo").withColumn("via", F.lit("token"))
     open_rest = rest.join(tokens.select(key), key, "left_anti")
     fuzzy = match_fuzzy(open_rest, names, key).drop("ratio").withColumn("via", F.lit("difuso"))
@@ -191,12 +193,12 @@ def match_category(text: Column, categories: Column,
     `categories` is the sorted array of what the territory has; the smallest match is taken.
     """
     asked = F.lower(ascii_fold(text))
-    rungs = []
-    for stem, fragment in hints:
-        wanted = F.translate(F.lit(fragment), "_", " ")
-        named = F.array_min(F.filter(categories, lambda c, w=wanted: F.contains(_plain(c), w)))
-        rungs.append(F.when(asked.contains(stem), named))
-    return F.coalesce(*rungs)
+
+    def smallest_with(fragment: str) -> Column:
+        wanted = F.lit(fragment.replace("_", " "))
+        return F.array_min(F.filter(categories, lambda c: F.contains(_plain(c), wanted)))
+
+    return F.coalesce(*[F.when(asked.contains(stem), smallest_with(fragment)) for stem, fragment in hints])
 
 
 def resolve_category(text: Column, categories: Column) -> Column:

@@ -71,7 +71,7 @@ def baseline_backtest(panel: DataFrame, horizon: int = 6, n_splits: int = 3,
         ))
     if not picks:
         raise ValueError("the panel is too short for the requested horizon")
-    rows = rows.withColumn("_p", F.explode(F.array(*picks)))
+    rows = rows.withColumn("_all", F.array(*picks)).withColumn("_p", F.explode("_all"))
     return rows.where("_p.paso > 0 AND _p.volumen IS NOT NULL").select(
         "_p.origen", "_p.paso", *SERIES_KEY, "periodo", "y",
         F.coalesce("_p.persistencia", F.lit(0.0)).alias("persistencia"),

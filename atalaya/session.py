@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -20,6 +22,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings every operator relies on."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    # Functions of this package travel inside the tasks, so executors need no installed copy.
+    package = sys.modules[__package__]
+    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
     return spark
 
 

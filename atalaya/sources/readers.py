@@ -34,14 +34,15 @@ def parse_population(cells: DataFrame) -> DataFrame:
                  & (F.col("row_id") < HEADER_SEARCH_ROWS))
     header = sheet.where(is_header).agg(
         F.min_by(F.struct("row_id", "_names"), "row_id")).scalar()
-    titles = header.getField("_names")
+    sheet = sheet.withColumn("_header", header)
+    titles = F.col("_header._names")
 
     def cell(test) -> Column:
         positions = F.filter(F.sequence(F.lit(1), F.size(titles)),
                              lambda i: test(F.element_at(titles, i)))
         return F.get(F.col("cells"), F.element_at(positions, 1) - 1)
 
-    body = sheet.where(F.col("row_id") > header.getField("row_id")).select(
+    body = sheet.where(F.col("row_id") > F.col("_header.row_id")).select(
         cell(lambda t: t == "MPIO").alias("code"), cell(lambda t: t == "ANO").alias("year"),
         cell(lambda t: t.contains("AREA")).alias("area"),
         cell(lambda t: t.startswith("POBLACI")).alias("people"))
