@@ -15,9 +15,10 @@ from atalaya.constants import PLACEHOLDER
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Compatibility decompositions to ASCII, derived by rule from the Unicode database.
 
-    Returns the one-to-one characters as a translate pair and the one-to-many ones as a map.
+    The translate pair holds one-to-one characters followed by characters of the common blocks
+    that fold to nothing, which translate deletes. One-to-many characters form the map.
     """
-    one_from, one_to, many = [], [], {}
+    one_from, one_to, gone, many = [], [], [], {}
     for point in range(0x80, 0x1F000):
         char = chr(point)
         if 0xAC00 <= point <= 0xD7FF or 0xD800 <= point <= 0xDFFF:
@@ -28,7 +29,9 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
             one_to.append(plain)
         elif len(plain) > 1:
             many[char] = plain
-    return "".join(one_from), "".join(one_to), many
+        elif point < 0x2600:
+            gone.append(char)
+    return "".join(one_from + gone), "".join(one_to), many
 
 
 @lru_cache(maxsize=1)
@@ -46,17 +49,19 @@ def _mark_tables() -> tuple[str, str]:
 
 
 def ascii_fold(col: Column) -> Column:
-    """Compatibility-decompose, keep ASCII, drop everything else."""
-    one_from, one_to, many = _fold_tables()
+    """Compatibility-decompose, keep ASCII, drop everything else.
+
+    ASCII text is returned as it is. Otherwise one hash-table translation settles nearly all
+    characters; only text that still holds something else is mapped character by character.
+    """
+    source, target, many = _fold_tables()
+    other = r"[^\x00-\x7F]"
     # One JSON literal keeps plan building cheap; the optimizer folds it into a map constant.
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
-    has_many = col.rlike("[" + "".join(many) + "]")
-    spread = F.when(
-        has_many,
-        F.array_join(F.transform(F.split(col, ""), lambda ch: F.coalesce(table[ch], ch)), ""),
-    ).otherwise(col)
-    folded = F.regexp_replace(F.translate(spread, one_from, one_to), r"[^\x00-\x7F]", "")
-    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
+    plain = F.translate(col, source, target)
+    mapped = F.array_join(F.transform(
+        F.split(plain, ""), lambda ch: F.when(ch.rlike(other), F.coalesce(table[ch], F.lit(""))).otherwise(ch)), "")
+    return F.when(~col.rlike(other), col).when(~plain.rlike(other), plain).otherwise(mapped)
 
 
 def strip_marks(col: Column, lower: bool = True) -> Column:

@@ -42,12 +42,11 @@ def meta(**pairs: str | Column) -> Column:
     return F.create_map(*items)
 
 
-def chunk_array(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Overlapping windows over the whole white-space-collapsed text, as an array.
+def chunk_array(flat: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Overlapping windows over a whole text whose white space is already collapsed, as an array.
 
     The array is cut inside one expression, so exploding it never repeats the full text per row.
     """
-    flat = F.trim(F.regexp_replace(text, WHITE_SPACE, " "))
     step = max(1, size - overlap)
     count = F.greatest(F.ceil((F.length(flat) - size) / F.lit(step)), F.lit(0)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), count),
@@ -58,7 +57,9 @@ def chunk_array(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
 def chunk(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
           overlap: int = CHUNK_OVERLAP) -> DataFrame:
     rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, F.posexplode(chunk_array(F.col(text), size, overlap)).alias("n", "content"))
+    # A column of its own: inside the array lambda the collapse would run once per chunk.
+    flat = docs.select(*rest, F.trim(F.regexp_replace(text, WHITE_SPACE, " ")).alias("_flat"))
+    return flat.select(*rest, F.posexplode(chunk_array(F.col("_flat"), size, overlap)).alias("n", "content"))
 
 
 def document_cards(docs: DataFrame, text: str = "text", source: str = "source",

@@ -63,14 +63,15 @@ def grow_trees(samples: DataFrame, cols: list[str], seed: int) -> DataFrame:
         next_id = 1
         while stack:
             node, block, depth = stack.pop()
-            spread = block.max(axis=0) - block.min(axis=0)
-            usable = np.flatnonzero(spread > 0)
+            low, high = block.min(axis=0), block.max(axis=0)
+            usable = np.flatnonzero(high > low)
             if depth >= limit or len(block) <= 1 or len(usable) == 0:
                 nodes.append((tree, node, -1, 0.0, -1, -1,
                               depth + float(_mean_path(len(block))), len(points)))
                 continue
             dim = int(rng.choice(usable))
-            cut = float(rng.uniform(block[:, dim].min(), block[:, dim].max()))
+            # Strictly below the maximum, so that neither side of the cut is ever empty.
+            cut = float(min(rng.uniform(low[dim], high[dim]), np.nextafter(high[dim], low[dim])))
             left = block[:, dim] <= cut
             nodes.append((tree, node, dim, cut, next_id, next_id + 1, 0.0, len(points)))
             stack += [(next_id, block[left], depth + 1), (next_id + 1, block[~left], depth + 1)]

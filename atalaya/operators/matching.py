@@ -10,6 +10,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from atalaya.constants import (
     CATEGORY_HINTS, FORECAST_STEMS, FUZZY_CUTOFF, FUZZY_MARGIN, FUZZY_MIN_LEN, TOKEN_MIN_LEN,
@@ -122,7 +123,7 @@ def _segments(tokens: DataFrame, column: str, cutoff: float, kind: str, probing:
                        F.substring(column, F.col("p"), F.col("len")).alias("trozo")).distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gestalt_ratio(name: pd.Series, query: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of candidate pairs, for which Spark has no built-in."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio()
