@@ -161,7 +161,7 @@ def _two(x: str) -> str:
       CAST(sum(n_procesos) FILTER (clase_etapa = 'judicializado') AS BIGINT) AS j FROM cube),
     e AS (SELECT titulo_delito AS l, tasa_judicializacion_pct AS t {ELIGIBLE}),
     m AS (SELECT municipio AS l, t FROM s WHERE procesos_etapa_conocida >= {MIN_TERRITORY})
-    SELECT 'Justicia: de ' || t || ' procesos penales, la TASA DE JUDICIALIZACIÓN nacional es ' || {_two('round(100.0 * j / greatest(i + j, 1), 2)')}
+    SELECT * FROM (SELECT 'Justicia: de ' || t || ' procesos penales, la TASA DE JUDICIALIZACIÓN nacional es ' || {_two('round(100.0 * j / greatest(i + j, 1), 2)')}
       || '%. Embudo: indagación ' || i || ', judicializado ' || j || '.' AS content, 'nacional' AS alcance FROM c
     UNION ALL SELECT 'Título penal «' || titulo_delito || '»: ' || total_procesos || ' procesos, ' || n_judicializados
       || ' superaron la indagación (' || {_two('tasa_judicializacion_pct')} || '% de los de etapa conocida).', 'titulo' FROM titles
@@ -173,7 +173,7 @@ def _two(x: str) -> str:
       || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t, l) FROM (SELECT * FROM e ORDER BY t, l LIMIT 3)) || '.', 'ranking-titulo'
     UNION ALL SELECT 'Municipios por tasa de judicialización. Mayor tasa: '
       || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t DESC, l) FROM (SELECT * FROM m ORDER BY t DESC, l LIMIT 6)) || '. Menor tasa: '
-      || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t, l) FROM (SELECT * FROM m ORDER BY t, l LIMIT 6)) || '.', 'ranking'"""))
+      || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t, l) FROM (SELECT * FROM m ORDER BY t, l LIMIT 6)) || '.', 'ranking') WHERE content IS NOT NULL"""))
 def _(spark, sf):
     cards = corpus.cards_funnel(B.cube(spark, sf), B.reference(spark, sf), 12, MIN_TITLE, MIN_TERRITORY, 6)
     return cards.select("content", F.col("metadata")["alcance"].alias("alcance"))
