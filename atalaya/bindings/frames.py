@@ -11,6 +11,8 @@ from atalaya.sources.readers import load
 
 RESPONSE = ["4-NOT SPECIFIED", "5-LOW"]
 ALERT_Z = 2.0
+# Nations without an official name, so that unmatched codes occur.
+UNNAMED = ["NATION_5", "NATION_11", "NATION_17", "NATION_23"]
 
 RAW_CATALOG = [
     SourceSpec("src_iso", "A", "HURTO_PERSONAS"),
@@ -78,7 +80,7 @@ def panel_pop(spark: SparkSession, sf: str) -> DataFrame:
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = load(spark, sf, "nation"), load(spark, sf, "region")
-    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 6 <> 5")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).where(~F.col("n_name").isin(*UNNAMED))
     return rows.select(
         code().alias("cod_municipio"), dep_code().alias("cod_departamento"),
         F.concat(F.lit("Villa "), "n_name").alias("municipio"), F.col("r_name").alias("departamento"),

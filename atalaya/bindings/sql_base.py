@@ -52,7 +52,7 @@ CTES: dict[str, str] = {
         SELECT {_CODE} AS cod_municipio, {_DEP} AS cod_departamento,
           'Villa ' || n_name AS municipio, r_name AS departamento,
           4.5 + n_nationkey / 8.0 AS lat, -(70.25 + n_nationkey / 4.0) AS lon
-        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5""",
+        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT IN ('NATION_5', 'NATION_11', 'NATION_17', 'NATION_23')""",
     "summary": f"""
         SELECT cod_municipio, CAST(sum(cantidad) AS BIGINT) AS total_hechos,
           CAST(sum(CASE WHEN categoria IN {RESPONSE_SQL} THEN 0 ELSE cantidad END) AS BIGINT) AS total_delitos,

@@ -16,6 +16,7 @@ from atalaya.constants import (
     CATEGORY_HINTS, FORECAST_STEMS, FUZZY_CUTOFF, FUZZY_MARGIN, FUZZY_MIN_LEN, TOKEN_MIN_LEN,
 )
 from atalaya.functions import ascii_fold, words
+from atalaya.operators.joins import size_checked
 from atalaya.session import cut_lineage
 
 NAME_COLUMNS = ["cod_municipio", "municipio", "departamento"]
@@ -63,7 +64,7 @@ def match_phrase(queries: DataFrame, names: DataFrame, key: str = "id") -> DataF
             F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))),
             lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))))
     exploded = tokenised.select(key, F.explode(F.array_distinct(grams)).alias("frase"))
-    hits = exploded.join(phrases, "frase")
+    hits = exploded.join(size_checked(phrases), "frase")
     best = F.min_by("fila", F.struct((-F.length("frase")).alias("l"), F.col("fila.cod_municipio")))
     return hits.groupBy(key).agg(best.alias("fila")).select(key, "fila.*")
 
@@ -71,7 +72,7 @@ def match_phrase(queries: DataFrame, names: DataFrame, key: str = "id") -> DataF
 def token_candidates(queries: DataFrame, names: DataFrame, key: str = "id",
                      min_len: int = TOKEN_MIN_LEN) -> DataFrame:
     """Best token match per question, flagged when several names share the longest token."""
-    hits = _query_tokens(queries, key, min_len).join(_tokens(names, min_len), "token")
+    hits = _query_tokens(queries, key, min_len).join(size_checked(_tokens(names, min_len)), "token")
     size = F.length("token")
     return hits.groupBy(key).agg(
         F.min_by("n1", F.struct((-size).alias("l"), "n1")).alias("n1"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Above this many rows one task no longer evaluates `percentile` over all of them.
 SINGLE_TASK_ROWS = 1_000_000
@@ -19,7 +19,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float],
     Small inputs use `percentile` directly. Larger ones run two mergeable aggregations: a
     constant-size sketch brackets each wanted rank, then rows below a bracket are only counted and
     rows inside it are grouped by value. Only those counts are ordered, so neither ties nor one
-    hot value reach a single task as rows. A bracket that is still wide is narrowed again.
+    hot value reach a single task as rows.
     """
     values = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
     n = values.count()
@@ -39,52 +39,43 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float],
 
 def _values_at_ranks(values: DataFrame, n: int, ranks: list[int], limit: int) -> dict[int, float]:
     """Value at each zero-based rank; `ranks` is a short list, a pair per wanted quantile."""
-    slack = 3.0 / SKETCH_ACCURACY
-    bounds = [(max(0.0, r / n - slack), min(1.0, (r + 1) / n + slack)) for r in ranks]
-    flat = [b for pair in bounds for b in pair]
-    edges = values.agg(F.percentile_approx("v", F.array(*[F.lit(b) for b in flat]),
-                                           SKETCH_ACCURACY)).first()[0]
     found: dict[int, float] = {}
-    for i, rank in enumerate(ranks):
+    for rank in ranks:
         if rank in found:
             continue
-        low, high = edges[2 * i], edges[2 * i + 1]
-        inside = values.where(F.col("v").between(low, high))
-        below, within, distinct = _bracket_counts(values, low, high)
-        if not below <= rank < below + within:
-            # The sketch missed: fall back to the full value range of this side.
-            inside, below = values, 0
-            distinct = values.select("v").distinct().count()
-        while distinct > limit:
-            edge = inside.agg(F.percentile_approx("v", F.lit((rank - below) / max(within, 1)),
-                                                  SKETCH_ACCURACY)).first()[0]
-            left = inside.where(F.col("v") <= edge)
-            n_left = left.count()
-            if rank < below + n_left:
-                inside = left
-            else:
-                inside, below = inside.where(F.col("v") > edge), below + n_left
-            within = inside.count()
-            distinct = inside.select("v").distinct().count()
-        counts = inside.groupBy("v").count()
-        steps = counts.agg(F.array_sort(F.collect_list(F.struct("v", "count")))).first()[0]
-        seen = below
-        for step in steps:
-            for wanted in ranks:
-                if seen <= wanted < seen + step["count"]:
-                    found[wanted] = step["v"]
-            seen += step["count"]
+        inside, below = _bracket(values, n, rank, limit)
+        # About `limit` (value, count) rows are ordered here; only the wanted ones are returned.
+        through = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("v")) + F.lit(below)
+        steps = inside.groupBy("v").count().withColumn("to", through).withColumn(
+            "from", F.col("to") - F.col("count"))
+        wanted = reduce(lambda a, b: a | b, [F.lit(r).between(F.col("from"), F.col("to") - 1) for r in ranks])
+        for step in steps.where(wanted).collect():
+            found.update({r: step["v"] for r in ranks if step["from"] <= r < step["to"]})
     return found
 
 
-def _bracket_counts(values: DataFrame, low: float, high: float) -> tuple[int, int, int]:
-    inside = F.col("v").between(low, high)
-    row = values.agg(
-        F.count_if(F.col("v") < low).alias("below"),
-        F.count_if(inside).alias("within"),
-    ).first()
-    distinct = values.where(inside).select("v").distinct().count()
-    return row["below"], row["within"], distinct
+def _bracket(values: DataFrame, n: int, rank: int, limit: int) -> tuple[DataFrame, int]:
+    """Rows of a value range that holds the rank, and the number of rows below the range.
+
+    The range is narrowed with a constant-size sketch until it has few distinct values. A sketch
+    that misses the rank is retried with a wider margin, so the result never depends on it.
+    """
+    inside, below, within, slack = values, 0, n, 3.0 / SKETCH_ACCURACY
+    while inside.agg(F.approx_count_distinct("v")).first()[0] > limit:
+        share = (rank - below) / within
+        probs = [max(0.0, share - slack), min(1.0, share + 1.0 / within + slack)]
+        low, high = inside.agg(F.percentile_approx(
+            "v", F.array(*[F.lit(p) for p in probs]), SKETCH_ACCURACY)).first()[0]
+        row = inside.agg(F.count_if(F.col("v") < low).alias("below"),
+                         F.count_if(F.col("v").between(low, high)).alias("within")).first()
+        if not row["below"] <= rank - below < row["below"] + row["within"]:
+            slack *= 4
+        elif row["within"] == within:
+            break  # the sketch is as fine as the data: a limit below its accuracy gains nothing
+        else:
+            inside = inside.where(F.col("v").between(low, high))
+            below, within = below + row["below"], row["within"]
+    return inside, below
 
 
 def step_class(value: Column, breaks: list[float]) -> Column:

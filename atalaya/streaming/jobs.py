@@ -15,10 +15,13 @@ from atalaya.session import ensure_checkpoint_dir
 
 
 def stream_parquet(spark: SparkSession, folder: str, name: str, schema,
-                   files_per_trigger: int = 64) -> DataFrame:
-    """File stream over one table of a folder; each micro-batch takes a bounded set of files."""
+                   bytes_per_trigger: int = 8 << 30) -> DataFrame:
+    """File stream over one table of a folder; each micro-batch takes a bounded amount of bytes.
+
+    The bound is also what one key of a stateful job can bring into a task at a time.
+    """
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+            .option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder))
 
 
 def stream_group_count(df: DataFrame, cols: list[str], count_as: str = "n") -> DataFrame:

@@ -156,10 +156,10 @@ def test_mase(spark):
 
 def test_baseline_backtest_against_loops(spark):
     rng = np.random.default_rng(5)
-    series = {(str(i), "A"): rng.integers(0, 9, 30) for i in range(4)}
+    series = {(str(i), "A"): rng.integers(0, 9, 30) for i in range(5)}  # 60 training rows at the first origin
     got = BT.baseline_backtest(panel_of(spark, series), 4, 3).collect()
     calendar = months(30)
-    assert {r.origen for r in got} == {calendar[i] for i in (24, 25, 26)} and len(got) == 3 * 4 * 4
+    assert {r.origen for r in got} == {calendar[i] for i in (24, 25, 26)} and len(got) == 3 * 4 * 5
     for r in got:
         y, o, t = series[(r.cod_municipio, "A")], calendar.index(r.origen), calendar.index(r.periodo)
         assert (r.paso, r.y, r.persistencia, r.estacional) == (t - o + 1, y[t], y[o - 1], y[t - 12])
