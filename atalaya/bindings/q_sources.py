@@ -376,6 +376,13 @@ def _(spark, sf):
         "o_orderkey", A.fmt_thousands(F.floor("o_totalprice")).alias("miles"), A.fmt_pct(share).alias("pct"))
 
 
+@query("fmt_pct", """
+    SELECT o_orderkey, replace(format('{:.2f}', CAST(o_orderkey % 10000 AS DOUBLE) / 64), '.', ',') || ' %' AS pct FROM orders""")
+def _(spark, sf):
+    share = (F.col("o_orderkey") % 10000).cast("double") / 64
+    return R.load(spark, sf, "orders", ["o_orderkey"]).select("o_orderkey", A.fmt_pct(share).alias("pct"))
+
+
 @query("region_name_lookup", sql("""
     SELECT DISTINCT cod_municipio, CASE substr(cod_municipio, 1, 2) WHEN '11' THEN 'Bogotá' WHEN '41' THEN 'Huila' END AS region
     FROM events_u"""))

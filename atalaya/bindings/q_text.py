@@ -313,9 +313,33 @@ def _(spark, sf):
     return rows.select("doc_id", F.size("i").alias("n"), F.coalesce(F.array_max("i").cast("string"), F.lit("")).alias("mayor"))
 
 
-@query("contains_criteria", sql("SELECT id, coalesce(list_contains(" + INTS.format("respuesta") + r""", esperada), false) AS cifra,
-      coalesce(regexp_matches(respuesta, '\b8[.,]51\b'), false) AS decimal, coalesce(contains(lower(strip_accents(respuesta)), lower(n_name)), false) AS texto FROM qa"""))
+FIGURE_SQL = "coalesce(list_contains(" + INTS.format("respuesta") + ", esperada), false) AS cifra"
+DECIMAL_SQL = r"coalesce(regexp_matches(respuesta, '\b8[.,]51\b'), false) AS decimal"
+TEXT_SQL = "coalesce(contains(lower(strip_accents(respuesta)), lower(n_name)), false) AS texto"
+
+
+@query("contains_figure", sql(f"SELECT id, {FIGURE_SQL} FROM qa"))
 def _(spark, sf):
+    return criteria(spark, sf).select("id", "cifra")
+
+
+@query("contains_decimal", sql(f"SELECT id, {DECIMAL_SQL} FROM qa"))
+def _(spark, sf):
+    return criteria(spark, sf).select("id", "decimal")
+
+
+@query("contains_text", sql(f"SELECT id, {TEXT_SQL} FROM qa"))
+def _(spark, sf):
+    return criteria(spark, sf).select("id", "texto")
+
+
+@query("contains_criteria", sql(f"SELECT id, {FIGURE_SQL}, {DECIMAL_SQL}, {TEXT_SQL} FROM qa"))
+def _(spark, sf):
+    return criteria(spark, sf)
+
+
+def criteria(spark, sf):
+    """The three criteria of each answer side by side."""
     questions, answers = B.qa(spark, sf)
     facts = B.order_facts(spark, sf)
     expected = F.floor("o_totalprice").cast("bigint") + F.when(F.col("o_orderkey") % 12 == 0, 1).otherwise(0)

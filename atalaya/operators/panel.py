@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from atalaya.constants import CRIME, PANEL_KEY
+from atalaya.constants import CRIME, PANEL_KEY, SERIES_KEY
 from atalaya.functions import month_start, nature, period_str, region
 from atalaya.operators.joins import size_checked
 
@@ -44,7 +44,11 @@ def fill_months(cells: DataFrame, keys: list[str], month: str = "periodo",
 def monthly_series(events: DataFrame, response: Iterable[str], keys: list[str] = PANEL_KEY,
                    ts: str = "fecha", qty: str = "cantidad", category: str = "categoria") -> DataFrame:
     """Gap-filled series per territory and category, with calendar parts and nature."""
-    filled = fill_months(monthly_counts(events, keys, ts, qty), keys)
+    cells = monthly_counts(events, keys, ts, qty)
+    if set(SERIES_KEY) <= set(keys):
+        # Clustered by series here, the fill and every later series window need no further shuffle.
+        cells = cells.repartition(*SERIES_KEY)
+    filled = fill_months(cells, keys)
     return (
         filled.withColumn("anio", F.year("periodo").cast("bigint"))
         .withColumn("mes", F.month("periodo").cast("bigint"))
@@ -88,27 +92,28 @@ def canonical_name(events: DataFrame, code: str = "cod_municipio") -> DataFrame:
 def territory_summary(events: DataFrame, response: Iterable[str]) -> DataFrame:
     """Totals by nature, distinct crime categories, year range and canonical name per territory.
 
-    The event table is first reduced to (territory, name, category, year) counts; everything else,
-    the distinct count and the most frequent name included, reads that small table once.
+    One scan and no join: events shrink to (territory, name, category), then to (territory, name)
+    with the set of its crime categories, then to the territory. The sets hold category names only.
     """
     is_response = F.col("categoria").isin(*response)
     cube = events.groupBy("cod_municipio", "municipio", "departamento", "categoria").agg(
         F.sum("cantidad").alias("q"), F.count(F.lit(1)).alias("n"),
         F.min("anio").alias("lo"), F.max("anio").alias("hi"),
     )
-    totals = cube.groupBy("cod_municipio").agg(
-        F.sum("q").alias("total_hechos"),
-        F.sum(F.when(is_response, 0).otherwise(F.col("q"))).alias("total_delitos"),
-        F.sum(F.when(is_response, F.col("q")).otherwise(0)).alias("total_respuestas"),
-        F.count_distinct(F.when(~is_response, F.col("categoria"))).alias("categorias"),
-        F.min("lo").alias("primer_anio"), F.max("hi").alias("ultimo_anio"),
+    named = cube.groupBy("cod_municipio", "municipio", "departamento").agg(
+        F.sum("q").alias("q"), F.sum(F.when(is_response, 0).otherwise(F.col("q"))).alias("crimes"),
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.collect_set(F.when(~is_response, F.col("categoria"))).alias("kinds"),
     )
-    names = cube.groupBy("cod_municipio", "municipio", "departamento").agg(F.sum("n").alias("n"))
     best = F.min_by(F.struct("municipio", "departamento"),
                     F.struct((-F.col("n")).alias("n"), "municipio", "departamento"))
-    named = names.groupBy("cod_municipio").agg(best.alias("_best")).select(
-        F.col("cod_municipio").alias("_code"), "_best.municipio", "_best.departamento")
-    return totals.join(named, F.col("cod_municipio").eqNullSafe(F.col("_code")), "left").drop("_code")
+    return named.groupBy("cod_municipio").agg(
+        F.sum("q").alias("total_hechos"), F.sum("crimes").alias("total_delitos"),
+        F.sum(F.col("q") - F.col("crimes")).alias("total_respuestas"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).cast("bigint").alias("categorias"),
+        F.min("lo").alias("primer_anio"), F.max("hi").alias("ultimo_anio"), best.alias("_best"),
+    ).select("cod_municipio", "total_hechos", "total_delitos", "total_respuestas", "categorias",
+             "primer_anio", "ultimo_anio", "_best.municipio", "_best.departamento")
 
 
 def attach_coords(summary: DataFrame, reference: DataFrame) -> DataFrame:
