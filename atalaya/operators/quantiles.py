@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from atalaya.session import cut_lineage
+
 # Above this many rows one task no longer evaluates `percentile` over all of them.
 SINGLE_TASK_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -21,7 +23,8 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float],
     rows inside it are grouped by value. Only those counts are ordered, so neither ties nor one
     hot value reach a single task as rows.
     """
-    values = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    # One stored column: the passes below never replay what produced it.
+    values = cut_lineage(df.select(value.cast("double").alias("v")).where("v IS NOT NULL"))
     n = values.count()
     if n == 0:
         return [None] * len(probs)

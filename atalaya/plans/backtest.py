@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from atalaya.constants import LAGS, SERIES_KEY
 from atalaya.operators.features import seasonal_value
+from atalaya.session import cut_lineage
 
 MIN_TRAIN_ROWS = 50
 
@@ -51,7 +52,10 @@ def baseline_backtest(panel: DataFrame, horizon: int = 6, n_splits: int = 3,
     All of it is one window partitioning by series: the statistics before each origin are
     conditional aggregates of the series, so neither origins nor baselines add joins.
     """
-    origins = origins or find_origins(panel, horizon, n_splits)
+    if origins is None:
+        # Stored, so that finding the origins and evaluating them read the panel once.
+        panel = cut_lineage(panel.select(*SERIES_KEY, "periodo", "cantidad"))
+        origins = find_origins(panel, horizon, n_splits)
     series = Window.partitionBy(*SERIES_KEY)
     y, month = F.col("cantidad").cast("double"), F.col("periodo")
     step_change = F.abs(y - F.lag(y).over(series.orderBy("periodo")))

@@ -68,8 +68,11 @@ class Prepared:
 
 
 def prepare_panel(panel: DataFrame, min_nonzero: int = 12) -> Prepared:
-    target, mode = modeling_target(active_series(panel, min_nonzero))
     has_population = "poblacion" in panel.columns
+    needed = [*SERIES_KEY, "periodo", "cantidad", *(["poblacion"] if has_population else [])]
+    # Stored once: the target mode, the trend origin and the features all read it.
+    panel = cut_lineage(active_series(panel.select(*needed), min_nonzero))
+    target, mode = modeling_target(panel)
     names = feature_names(has_population, mode == "rate")
     rows = make_features(target, y="objetivo")
     keep = [*SERIES_KEY, "periodo", "cantidad", "objetivo"]

@@ -14,6 +14,7 @@ from atalaya.constants import (
 from atalaya.functions import month_diff, period_str
 from atalaya.operators.quantiles import exact_quantiles
 from atalaya.plans import metrics as m
+from atalaya.session import cut_lineage
 
 
 def psi_light(value: Column) -> Column:
@@ -47,9 +48,9 @@ def psi(values: DataFrame, is_reference: Column, value: Column, bins: int = 10)
 def data_drift(panel: DataFrame, response: Iterable[str], recent: int = 6, reference: int = 18) -> DataFrame:
     """Stability of the last months against the ones just before, and the change in volume.
 
-    Only the list of calendar months is read by the driver.
+    Only the list of calendar months is read by the driver; the panel is stored for the passes.
     """
-    crimes = panel.where(~F.col("categoria").isin(*response))
+    crimes = cut_lineage(panel.where(~F.col("categoria").isin(*response)).select("periodo", "cantidad"))
     months = [r[0] for r in crimes.select("periodo").distinct().orderBy("periodo").collect()]
     if len(months) <= recent + 1:
         return panel.sparkSession.range(1).select(
