@@ -48,6 +48,11 @@ def _mark_tables() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def _is_ascii(col: Column) -> Column:
+    """As many bytes as characters: a check without a regular expression."""
+    return F.octet_length(col) == F.char_length(col)
+
+
 def ascii_fold(col: Column) -> Column:
     """Compatibility-decompose, keep ASCII, drop everything else.
 
@@ -61,20 +66,20 @@ def ascii_fold(col: Column) -> Column:
     plain = F.translate(col, source, target)
     mapped = F.array_join(F.transform(
         F.split(plain, ""), lambda ch: F.when(ch.rlike(other), F.coalesce(table[ch], F.lit(""))).otherwise(ch)), "")
-    return F.when(~col.rlike(other), col).when(~plain.rlike(other), plain).otherwise(mapped)
+    return F.when(_is_ascii(col), col).when(_is_ascii(plain), plain).otherwise(mapped)
 
 
 def strip_marks(col: Column, lower: bool = True) -> Column:
     """Remove combining marks only; other characters stay as they are."""
     source, target = _mark_tables()
     bare = F.regexp_replace(F.translate(col, source, target), r"\p{Mn}", "")
-    bare = F.when(col.rlike(r"[^\x00-\x7F]"), bare).otherwise(col)
+    bare = F.when(_is_ascii(col), col).otherwise(bare)
     return F.lower(bare) if lower else F.upper(bare)
 
 
 def norm_text(col: Column, placeholder: str = PLACEHOLDER) -> Column:
     """Canonical upper-case ASCII label without bracketed suffixes; blanks become the placeholder."""
-    bare = F.trim(F.regexp_replace(col, r"\(.*?\)", ""))
+    bare = F.trim(F.when(F.contains(col, F.lit("(")), F.regexp_replace(col, r"\(.*?\)", "")).otherwise(col))
     text = F.regexp_replace(ascii_fold(F.upper(bare)), r"\s+", " ")
     # One reference to `text` keeps the expression small: blanks are replaced by pattern.
     return F.coalesce(F.regexp_replace(text, "^(NAN)?$", placeholder), F.lit(placeholder))
