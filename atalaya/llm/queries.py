@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.llm import exact_dedup as dedup, mixing
+from atalaya.llm import exact_dedup as dedup, mixing, packing, simhash
 from atalaya.llm.common import table
 
 QUERIES = {}
@@ -18,6 +18,25 @@ def query(fn):
     return fn
 
 
+@query
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_files() -> tuple[str, str]:
+    """Ranks of the 50k byte-level BPE (the vocabulary of byte_bpe_50k.json) and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
