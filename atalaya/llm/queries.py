@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.llm import exact_dedup as dedup, mixing, packing, simhash
-from atalaya.llm.common import table
+from atalaya.llm import exact_dedup as dedup, langid, mixing, packing, simhash
+from atalaya.llm.common import fold, table
 
 QUERIES = {}
 ORACLES = {}
@@ -37,6 +37,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def held_out(parts: int, held: int):
+    return F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    tagged = langid.tag(docs.select("doc_id", "text"), langid.train(docs))
+    return tagged.select("doc_id", held_out(3, 1), "lang_pred", "score")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
