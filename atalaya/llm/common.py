@@ -47,3 +47,9 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids fall in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
+
+
+def drawn(rows: DataFrame, id_col: str, at_most: int) -> DataFrame:
+    """About `at_most` rows drawn by a hash of the id, and never more than twice as many."""
+    share = min(1.0, at_most / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_003)) < share * 1_000_003).limit(2 * at_most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.llm import exact_dedup as dedup, langid, mixing, packing, simhash
+from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, sharding, simhash, toxicity
 from atalaya.llm.common import fold, table
 
 QUERIES = {}
@@ -37,10 +37,41 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_block_matrix_ann"] = """
+    WITH v AS (
+      SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    p AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.vec, c.vec) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 20 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM p QUALIFY rank <= 20
+"""
+
+
 def held_out(parts: int, held: int):
     return F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out")
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.withColumnRenamed("id", "doc_id").select("doc_id", held_out(5, 0), "score", "predicted")
+
+
+@query
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.withColumnRenamed("id", "doc_id").select("doc_id", held_out(3, 1), "score", "predicted")
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -48,6 +79,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
+@query
+def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
