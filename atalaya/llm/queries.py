@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, sharding, simhash, toxicity
+from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, secrets, sharding, simhash, toxicity
 from atalaya.llm.common import fold, table
 
 QUERIES = {}
@@ -60,6 +60,13 @@ def held_out(parts: int, held: int):
     return F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out")
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "n_markov",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
