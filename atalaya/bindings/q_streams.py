@@ -40,6 +40,10 @@ def _(spark, sf):
     return J.window_limit(events, ["event_type"], 2, size="10 minutes")
 
 
+def drained_events(spark, sf):
+    return J.run_available(event_stream(spark, sf).select("event_id", "user_id", "event_type", "ts"), "append")
+
+
 def counter_sql(fails: str, seconds: int, locked: str) -> str:
     """The counter replayed one event per user and recursion step."""
     return f"""
@@ -56,15 +60,13 @@ def counter_sql(fails: str, seconds: int, locked: str) -> str:
 
 @query("failure_lockout", counter_sql("event_type <> 'signup'", 86400, "fallos >= 3"))
 def _(spark, sf):
-    return J.run_available(J.stateful_counter(
-        event_stream(spark, sf), "user_id", F.col("event_type") != "signup", 3, 86400), "append").drop("_batch", "b")
+    return J.count_failures(drained_events(spark, sf), "user_id", F.col("event_type") != "signup", 3, 86400)
 
 
 @query("first_hit_limit", counter_sql("true", 43200, "fallos > 1"))
 def _(spark, sf):
     """Rate limit whose window opens at the first hit of a client."""
-    return J.run_available(J.stateful_counter(
-        event_stream(spark, sf), "user_id", F.lit(True), 1, 43200, strict=True), "append").drop("_batch", "b")
+    return J.count_failures(drained_events(spark, sf), "user_id", F.lit(True), 1, 43200, strict=True)
 
 
 FEED_SQL = r"""

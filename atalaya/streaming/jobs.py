@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
-from typing import Any
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from atalaya.functions import month_start
-from atalaya.session import ensure_checkpoint_dir
+from atalaya.session import file_system, path_exists, scratch_path
 
 
-def stream_parquet(spark: SparkSession, folder: str, name: str, schema,
-                   bytes_per_trigger: int = 8 << 30) -> DataFrame:
-    """File stream over one table of a folder; each micro-batch takes a bounded amount of bytes.
-
-    The bound is also what one key of a stateful job can bring into a task at a time.
-    """
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder))
+def stream_parquet(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = 1_000_000) -> DataFrame:
+    """File stream over one table of a folder, whether that is one file or a folder of part files."""
+    table = f"{folder}/{name}.parquet"
+    found, files = file_system(spark, table)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if files.getFileStatus(found).isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def stream_group_count(df: DataFrame, cols: list[str], count_as: str = "n") -> DataFrame:
@@ -30,12 +27,14 @@ def stream_group_count(df: DataFrame, cols: list[str], count_as: str = "n") -> D
 
 
 def window_limit(df: DataFrame, keys: list[str], limit: int, ts: str = "ts",
-                 size: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+                 size: str = "1 minute", late: str | None = None) -> DataFrame:
     """Requests per key and epoch-aligned window, flagged above the limit.
 
-    Counts combine before the shuffle, so one hot client costs one row per task and window.
+    Counts combine before the shuffle, so one hot client costs one row per task and window. A
+    finite table is drained without `late`, so no event is lost in whatever order its files come;
+    an endless stream names the lateness after which windows close and their state goes.
     """
-    if df.isStreaming:
+    if df.isStreaming and late:
         df = df.withWatermark(ts, late)
     counts = df.groupBy(F.window(ts, size), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(*keys, F.col("window.start").alias("inicio"), "n",
@@ -43,9 +42,9 @@ def window_limit(df: DataFrame, keys: list[str], limit: int, ts: str = "ts",
 
 
 def incremental_series(df: DataFrame, keys: list[str], ts: str = "ts", qty: str | None = None,
-                       late: str = "62 days") -> DataFrame:
-    """Monthly totals per series that grow as events arrive; late events are bounded."""
-    if df.isStreaming:
+                       late: str | None = None) -> DataFrame:
+    """Daily totals per series that grow as events arrive; only a named lateness closes old days."""
+    if df.isStreaming and late:
         df = df.withWatermark(ts, late)
     amount = F.count(F.lit(1)) if qty is None else F.sum(qty)
     # A 1-day event-time window gives the state an expiry; days then roll up to months.
@@ -58,12 +57,10 @@ def months_of(daily: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("cantidad").alias("cantidad"))
 
 
-def recent_feed(df: DataFrame, now: Column, days: int = 7, late: str = "7 days") -> DataFrame:
-    """Items of the last days with title and url, each url once."""
+def recent_feed(df: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Items of the last days with title and url; `top_feed` keeps the newest of each url."""
     rows = df.where((F.coalesce("titulo", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
     rows = rows.where((F.col("ts") > now - F.expr(f"interval {days} days")) & (F.col("ts") <= now))
-    if df.isStreaming:
-        rows = rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["region", "url"])
     return rows.withColumn("fecha", F.date_format("ts", "yyyy-MM-dd"))
 
 
@@ -78,67 +75,58 @@ def top_feed(items: DataFrame, n: int = 12) -> DataFrame:
         "region", "orden", "titulo", "url", "fuente", "fecha")
 
 
-def _counter_rows(seconds: float, limit: int, strict: bool):
-    """Fold one key's events over (count, start): the counter starts at its first counted event,
-    expires `seconds` later, and a success clears it."""
-
-    def fold(pdf: pd.DataFrame, count: int, start: float) -> tuple[list[tuple], int, float]:
-        out = []
-        for event_id, at, fails in zip(pdf["event_id"], pdf["_s"], pdf["_fail"], strict=True):
-            if count and at >= start + seconds:
-                count = 0
-            if fails:
-                if count == 0:
-                    start = at
-                count += 1
-            else:
-                count = 0
-            out.append((event_id, count, count > limit if strict else count >= limit))
-        return out, count, start
-
-    return fold
-
-
-def stateful_counter(events: DataFrame, key: str, failed: Column, limit: int, seconds: float,
-                     strict: bool = False) -> DataFrame:
+def count_failures(events: DataFrame, key: str, failed: Column, limit: int, seconds: float,
+                   strict: bool = False) -> DataFrame:
     """Per event: failures counted since the last success or expiry, and whether that locks.
 
-    State is two numbers per key and expires in event time, so a key that goes quiet is
-    forgotten. With every event counted as a failure this is a first-hit rate limit.
+    The counter of a key starts at its first counted event, expires `seconds` later, and a success
+    clears it. With every event counted as a failure this is a first-hit rate limit. Events of a key
+    are ordered by time and id, whatever files or batches brought them.
+
+    A success, or a gap of `seconds`, clears the counter whatever came before, so a key falls into
+    independent stretches. One that is over before its counter can expire is numbered by a window;
+    the others are dealt out by stretch and folded row by row, holding two numbers at a time.
     """
-    fold = _counter_rows(seconds, limit, strict)
-    rows = events.withColumn("_s", F.unix_micros("ts") / 1e6).withColumn("_fail", failed)
-    rows = rows.withWatermark("ts", f"{int(seconds)} seconds").select(key, "event_id", "ts", "_s", "_fail")
-
-    def step(group: tuple[Any, ...], chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, start = state.get if state.exists else (0, 0.0)
-        # A micro-batch may hand a key over in several chunks; order is only known across them.
-        ordered = pd.concat(list(chunks)).sort_values(["_s", "event_id"])
-        out, count, start = fold(ordered, int(count), float(start))
-        state.update((count, start))
-        expiry = int((ordered["_s"].iloc[-1] + seconds) * 1000) + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(out, columns=["event_id", "fallos", "bloqueado"])
-        frame.insert(0, key, group[0])
-        yield frame
-
-    key_type = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {key_type}, event_id bigint, fallos int, bloqueado boolean",
-        "n int, inicio double", "append", GroupStateTimeout.EventTimeTimeout)
+    span = int(seconds * 1_000_000)
+    order = Window.partitionBy(key).orderBy("_t", "event_id")
+    rows = events.select(key, "event_id", F.unix_micros("ts").alias("_t"), failed.alias("_fail"))
+    opens = F.coalesce(~F.lag("_fail").over(order) | (F.col("_t") - F.lag("_t").over(order) >= span), F.lit(True))
+    rows = rows.withColumn("_part", F.sum(opens.cast("int")).over(order))
+    own = Window.partitionBy(key, "_part")
+    within = own.orderBy("_t", "event_id")
+    rows = rows.withColumn("_n", F.row_number().over(within)).withColumn("_long", F.max("_t").over(own) - F.min("_t").over(own) >= span)
+    short = rows.where(~F.col("_long")).select(key, "event_id", F.when(F.col("_fail"), F.col("_n")).otherwise(0).alias("fallos"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, count, start = None, 0, 0
+        for pdf in frames:
+            out = []
+            for who, part, at, fails in zip(pdf[key], pdf["_part"], pdf["_t"], pdf["_fail"], strict=True):
+                if (who, part) != stretch or at >= start + span:
+                    stretch, count = (who, part), 0
+                if fails and count == 0:
+                    start = at
+                count = count + 1 if fails else 0
+                out.append(count)
+            yield pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "fallos": out})
+
+    key_type, id_type = (events.schema[c].dataType.simpleString() for c in (key, "event_id"))
+    folded = (rows.where("_long").select(key, "event_id", "_part", "_t", "_fail").repartition(key, "_part")
+              .sortWithinPartitions(key, "_part", "_t", "event_id")
+              .mapInPandas(fold, f"{key} {key_type}, event_id {id_type}, fallos int"))
+    fallos = F.col("fallos")
+    return short.unionByName(folded).withColumn("bloqueado", fallos > limit if strict else fallos >= limit)
 
 
 def run_available(df: DataFrame, mode: str = "update") -> DataFrame:
     """Drain a stream once and return what it wrote, from the shared checkpoint folder.
 
     Every micro-batch appends its rows with its number. A batch that is replayed after a failure
-    overwrites its own folder, so the log holds each batch once.
+    overwrites its own folder, so the log holds each batch once. A table without rows leaves an
+    empty log.
     """
     spark = df.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/log/b={number}")
@@ -147,6 +135,8 @@ def run_available(df: DataFrame, mode: str = "update") -> DataFrame:
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     schema = df.withColumn("_batch", F.lit(0)).schema
+    if not path_exists(spark, f"{base}/log"):
+        return spark.createDataFrame([], schema.add("b", "int"))
     return spark.read.schema(schema).parquet(f"{base}/log")
 
 

@@ -43,9 +43,9 @@ def test_lockout_across_batches(spark, tmp_path):
         start += timedelta(seconds=rnd.randint(1, 40))
         rows.append((i, start, rnd.randint(0, 5), rnd.random() < 0.8))
     schema = "event_id bigint, ts timestamp, user_id bigint, fail boolean"
-    s = stream(spark, tmp_path, rows, schema, 4)
+    s = stream(spark, tmp_path, rows[::-1], schema, 4)  # newest first
     got = {r.event_id: (r.fallos, r.bloqueado) for r in
-           J.run_available(J.stateful_counter(s, "user_id", F.col("fail"), 3, 300), "append").collect()}
+           J.count_failures(J.run_available(s, "append"), "user_id", F.col("fail"), 3, 300).collect()}
     want, state = {}, {}
     for i, ts, user, fail in rows:
         n, first = state.get(user, (0, ts))
@@ -61,6 +61,32 @@ def test_lockout_across_batches(spark, tmp_path):
     assert got == want
 
 
+def test_lockout_of_one_long_stretch(spark):
+    """A key that never succeeds: its counter expires again and again within one stretch."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=40 * i), 1, True) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, fail boolean")
+    got = {r.event_id: r.fallos for r in J.count_failures(df, "user_id", F.col("fail"), 3, 300).collect()}
+    assert got == {i: i % 8 + 1 for i in range(200)}
+
+
+def test_drains_lose_nothing(spark, tmp_path):
+    """Three files, newest first, as a folder named like the table; a table without rows is fine too."""
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=h), "ab"[h % 2]) for h in range(3000)]
+    schema = "ts timestamp, k string"
+    for i, part in enumerate((rows[2000:], rows[1000:2000], rows[:1000])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    source = lambda: J.stream_parquet(spark, str(tmp_path), "t", schema, 1)
+    limited = J.latest_rows(J.run_available(J.window_limit(source(), ["k"], 30, size="1 day")), ["k", "inicio"])
+    assert limited.agg(F.sum("n")).first()[0] == 3000
+    daily = J.latest_rows(J.run_available(J.incremental_series(source(), ["k"])), ["k", "dia"])
+    batch = J.incremental_series(spark.createDataFrame(rows, schema), ["k"])
+    assert {tuple(r) for r in daily.collect()} == {tuple(r) for r in batch.collect()}
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none.parquet"))
+    empty = J.run_available(J.window_limit(J.stream_parquet(spark, str(tmp_path), "none", schema), ["k"], 3))
+    assert J.latest_rows(empty, ["k", "inicio"]).count() == 0
+
+
 def test_window_limit_same_for_batch_and_stream(spark, tmp_path):
     rows = [(datetime(2024, 1, 1, 0, 0, s % 60) + timedelta(minutes=s // 60), "a" if s % 3 else "b") for s in range(200)]
     batch = {tuple(r) for r in J.window_limit(spark.createDataFrame(rows, "ts timestamp, k string"), ["k"], 30).collect()}
