@@ -299,18 +299,23 @@ def _(spark, sf):
 INTS = r"list_distinct(list_transform(regexp_extract_all({0}, '\b\d{{1,3}}(?:[.,\s]\d{{3}})+\b|\b\d+\b'), lambda x: TRY_CAST(regexp_replace(x, '[.,\s]', '', 'g') AS HUGEINT)))"
 
 
+def by_value(digits):
+    """Longer digit strings without leading zeros are larger numbers."""
+    return F.struct(F.length(digits).alias("n"), digits.alias("v"))
+
+
 @query("extract_integers", sql("SELECT id, array_to_string(list_sort(" + INTS.format("respuesta") + "), ' ') AS enteros FROM qa WHERE respuesta IS NOT NULL"))
 def _(spark, sf):
     rows = B.qa(spark, sf)[1].where("respuesta IS NOT NULL")
-    return rows.select("id", F.array_join(F.array_sort(ANS.extract_integers(F.col("respuesta"))), " ").alias("enteros"))
+    return rows.select("id", F.array_join(F.transform(F.array_sort(F.transform(ANS.extract_integers(F.col("respuesta")), by_value)), lambda s: s["v"]), " ").alias("enteros"))
 
 
 @query("extract_integers_documents", "SELECT doc_id, coalesce(CAST(len(i) AS INTEGER), 0) AS n, coalesce(CAST(list_max(i) AS VARCHAR), '') AS mayor FROM "
        "(SELECT doc_id, " + INTS.format("text") + " AS i FROM documents)")
 def _(spark, sf):
-    ints = F.array_compact(ANS.extract_integers(F.col("text")))
+    ints = F.transform(F.array_sort(F.transform(ANS.extract_integers(F.col("text")), by_value)), lambda s: s["v"])
     rows = load(spark, sf, "documents", ["doc_id", "text"]).withColumn("i", ints)
-    return rows.select("doc_id", F.size("i").alias("n"), F.coalesce(F.array_max("i").cast("string"), F.lit("")).alias("mayor"))
+    return rows.select("doc_id", F.size("i").alias("n"), F.coalesce(F.try_element_at("i", F.lit(-1)), F.lit("")).alias("mayor"))
 
 
 FIGURE_SQL = "coalesce(list_contains(" + INTS.format("respuesta") + ", esperada), false) AS cifra"

@@ -7,11 +7,18 @@ from pyspark.sql import Column, functions as F
 from atalaya.constants import RATE_SCALE
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def number(col: Column) -> Column:
+    """A plain decimal number, or null. A bare cast would also take suffixes such as `2d` and `4f`."""
+    text = F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.when(text.rlike(NUMBER), text).try_cast("double")
+
+
 def parse_quantity(col: Column) -> Column:
     """Unreadable counts as one event; negatives as zero; fractions are cut."""
-    number = F.trim(col).try_cast("double")
-    number = F.when(F.isnan(number), None).otherwise(number)
-    return F.greatest(F.coalesce(number, F.lit(1.0)), F.lit(0.0)).try_cast("bigint")
+    return F.greatest(F.coalesce(number(col), F.lit(1.0)), F.lit(0.0)).try_cast("bigint")
 
 
 def to_rate(count: Column, population: Column) -> Column:
@@ -28,7 +35,7 @@ def parse_coord(col: Column) -> Column:
     parts = F.split(F.regexp_replace(text, "^-+", ""), ",")
     tail = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "")
     joined = F.when(F.size(parts) == 1, parts[0]).otherwise(F.concat(parts[0], F.lit("."), tail))
-    value = F.when(F.lower(text) == "nan", None).otherwise(joined).try_cast("double")
+    value = number(joined)
     value = F.when(F.abs(value) <= 180, value)
     return F.when(text.startswith("-"), -value).otherwise(value)
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, functions as F
 
 from atalaya.constants import PLACEHOLDER
 
+# Behind the last block whose characters decompose into something that is kept.
+LAST_POINT = 0x30000
+
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
@@ -19,7 +22,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     that fold to nothing, which translate deletes. One-to-many characters form the map.
     """
     one_from, one_to, gone, many = [], [], [], {}
-    for point in range(0x80, 0x1F000):
+    for point in range(0x80, LAST_POINT):
         char = chr(point)
         if 0xAC00 <= point <= 0xD7FF or 0xD800 <= point <= 0xDFFF:
             continue
@@ -38,8 +41,10 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def _mark_tables() -> tuple[str, str]:
     """Base letter of every precomposed character whose decomposition is letter + marks."""
     source, target = [], []
-    for point in range(0x80, 0x3000):
+    for point in range(0x80, LAST_POINT):
         char = chr(point)
+        if 0xAC00 <= point <= 0xD7FF or 0xD800 <= point <= 0xDFFF:
+            continue
         base = "".join(c for c in unicodedata.normalize("NFD", char)
                        if unicodedata.category(c) != "Mn")
         if base != char and len(base) == 1:
@@ -79,8 +84,9 @@ def strip_marks(col: Column, lower: bool = True) -> Column:
 
 def norm_text(col: Column, placeholder: str = PLACEHOLDER) -> Column:
     """Canonical upper-case ASCII label without bracketed suffixes; blanks become the placeholder."""
-    bare = F.trim(F.when(F.contains(col, F.lit("(")), F.regexp_replace(col, r"\(.*?\)", "")).otherwise(col))
-    text = F.regexp_replace(ascii_fold(F.upper(bare)), r"\s+", " ")
+    bare = F.when(F.contains(col, F.lit("(")), F.regexp_replace(col, r"\(.*?\)", "")).otherwise(col)
+    # Folding turns no-break and other spaces into plain ones, so all white space is trimmed after it.
+    text = F.trim(F.regexp_replace(ascii_fold(F.upper(bare)), r"\s+", " "))
     # One reference to `text` keeps the expression small: blanks are replaced by pattern.
     return F.coalesce(F.regexp_replace(text, "^(NAN)?$", placeholder), F.lit(placeholder))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,16 +16,32 @@ OUT_OF_SCOPE_CATEGORY = "fuera_alcance"
 
 
 def extract_integers(col: Column) -> Column:
-    """Whole numbers of a text; thousands separators are joined, decimals are not."""
-    found = F.regexp_extract_all(col, F.lit("(?U)" + INTEGER_PATTERN), F.lit(0))
+    """Whole numbers of a text as digits without leading zeros, of any length.
+
+    Thousands separators are joined, no-break spaces among them; decimals are not. Digits of other
+    scripts become ASCII ones.
+    """
+    found = F.regexp_extract_all(ascii_digits(col), F.lit("(?U)" + INTEGER_PATTERN), F.lit(0))
     return F.array_distinct(F.transform(
-        found, lambda x: F.regexp_replace(x, r"[.,\s]", "").try_cast("decimal(38,0)")))
+        found, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)[.,\s]", ""), r"^0+(?=\d)", "")))
+
+
+def ascii_digits(col: Column) -> Column:
+    """Every decimal digit of Unicode as 0-9."""
+    plain = F.octet_length(col) == F.char_length(col)
+    return F.when(plain, col).otherwise(F.translate(col, *_digit_tables()))
+
+
+@lru_cache(maxsize=1)
+def _digit_tables() -> tuple[str, str]:
+    found = [chr(p) for p in range(0x80, sys.maxunicode + 1) if chr(p).isdecimal()]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
 
 
 def contains_figure(answer: Column, figures: Column) -> Column:
     """Any of the accepted whole numbers appears."""
     return F.coalesce(F.arrays_overlap(extract_integers(answer),
-                                       F.transform(figures, lambda x: x.cast("decimal(38,0)"))), F.lit(False))
+                                       F.transform(figures, lambda x: x.cast("string"))), F.lit(False))
 
 
 def contains_decimal(answer: Column, value: Column) -> Column:
@@ -43,7 +61,8 @@ def is_abstention(col: Column) -> Column:
 def invents_figures(col: Column) -> Column:
     """A number of at least 100 that is not a plausible year."""
     low, high = YEAR_RANGE
-    return F.exists(extract_integers(col), lambda n: n.isNull() | ((n >= 100) & ~n.between(low, high)))
+    year = lambda n: (F.length(n) == 4) & n.between(str(low), str(high))
+    return F.exists(extract_integers(col), lambda n: (F.length(n) >= 3) & ~year(n))
 
 
 def score(questions: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from atalaya.constants import (
     ADVANCED, FUNNEL_YEARS, MIN_KNOWN_TERRITORY, MIN_KNOWN_TITLE, NO_TITLE, UNKNOWN_STAGE,
 )
-from atalaya.functions import blank_to, region, stage_class, stage_order, territory_code
+from atalaya.functions import blank_to, number, region, stage_class, stage_order, territory_code
 
 CUBE_KEYS = ["cod_municipio", "anio", "etapa", "clase_etapa"]
 
@@ -16,9 +16,9 @@ def typed_cube(raw: DataFrame) -> DataFrame:
     """Parse the all-text group counts; a missing title column is allowed."""
     cols = {
         "cod_municipio": territory_code(F.col("cod_dane_hecho"), "A"),
-        "anio": F.trim("a_o_hecho").try_cast("double"),
+        "anio": number(F.col("a_o_hecho")),
         "etapa": F.trim("etapa"),
-        "n_procesos": F.coalesce(F.trim("n_procesos").try_cast("double").try_cast("bigint"), F.lit(0)),
+        "n_procesos": F.coalesce(number(F.col("n_procesos")).try_cast("bigint"), F.lit(0)),
     }
     if "titulo_delito" in raw.columns:
         cols["titulo_delito"] = blank_to(F.col("titulo_delito"), NO_TITLE)

@@ -15,7 +15,7 @@ EULER_GAMMA = 0.5772156649015329
 _NODE_SCHEMA = ("arbol int, nodo int, dim int, corte double, izq int, der int, "
                 "largo double, n int")
 _OVERSAMPLE = 4
-_HASH_RANGE = 1 << 30
+_HASH_RANGE = 1 << 50
 
 
 def _mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -36,16 +36,11 @@ def draw_samples(df: DataFrame, cols: list[str], keys: list[str], trees: int, si
     n = df.count()
     per_tree = min(1.0, _OVERSAMPLE * size / max(n, 1))
     key = [F.col(k) for k in keys]
+    # Each tree draws for itself at every size; a row is only repeated for the trees that it enters.
     ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    if per_tree * trees < 1.0:
-        # Large input: a row lands in at most one tree.
-        draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(_HASH_RANGE)) / _HASH_RANGE
-        rows = df.where(draw < per_tree * trees)
-        rows = rows.withColumn("arbol", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        keep = F.filter(ids, lambda t: F.pmod(F.xxhash64(*key, t, F.lit(seed)), F.lit(_HASH_RANGE))
-                        < F.lit(int(per_tree * _HASH_RANGE)))
-        rows = df.withColumn("arbol", F.explode(keep))
+    keep = F.filter(ids, lambda t: F.pmod(F.xxhash64(*key, t, F.lit(seed)), F.lit(_HASH_RANGE))
+                    < F.lit(int(per_tree * _HASH_RANGE)))
+    rows = df.withColumn("arbol", F.explode(keep))
     order = F.xxhash64(*key, F.col("arbol"), F.lit(seed + 2))
     rank = F.row_number().over(Window.partitionBy("arbol").orderBy(order, *key))
     return rows.withColumn("orden", rank).where(F.col("orden") <= size).select("arbol", "orden", *cols)

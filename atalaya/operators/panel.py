@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from atalaya.constants import CRIME, PANEL_KEY, SERIES_KEY
 from atalaya.functions import month_start, nature, period_str, region
-from atalaya.operators.joins import size_checked
 
 
 def monthly_counts(events: DataFrame, keys: list[str] = PANEL_KEY, ts: str = "fecha",
@@ -60,7 +59,7 @@ def attach_population(panel: DataFrame, population: DataFrame, code: str = "cod_
                       year: str = "anio") -> DataFrame:
     """Left join on (code, nearest year that the denominator covers).
 
-    A denominator of proven size is broadcast, so the panel keeps its partitioning.
+    Spark broadcasts a denominator that its size statistics show to be small; otherwise it sort-merges.
     """
     span = population.agg(F.struct(F.min(year).alias("lo"), F.max(year).alias("hi")))
     lookup = population.select(
@@ -71,7 +70,7 @@ def attach_population(panel: DataFrame, population: DataFrame, code: str = "cod_
     return (
         panel.withColumn("_clip", F.least(F.greatest(F.col(year), limits.getField("lo")),
                                           limits.getField("hi")))
-        .join(size_checked(lookup), (F.col(code) == F.col("_code")) & (F.col("_clip") == F.col("_year")), "left")
+        .join(lookup, (F.col(code) == F.col("_code")) & (F.col("_clip") == F.col("_year")), "left")
         .drop("_clip", "_code", "_year")
     )
 

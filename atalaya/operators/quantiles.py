@@ -9,29 +9,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from atalaya.session import cut_lineage
 
-# Above this many rows one task no longer evaluates `percentile` over all of them.
-SINGLE_TASK_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Distinct values that one ordering task takes in the last step; more are narrowed down further first.
+ORDERED_VALUES = 100_000
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: list[float],
-                    single_task_rows: int = SINGLE_TASK_ROWS) -> list[float | None]:
+def exact_quantiles(df: DataFrame, value: Column, probs: list[float], ordered_values: int = ORDERED_VALUES) -> list[float | None]:
     """Linear-interpolated quantiles, as `percentile` gives them, for any number of rows.
 
-    Small inputs use `percentile` directly. Larger ones run two mergeable aggregations: a
-    constant-size sketch brackets each wanted rank, then rows below a bracket are only counted and
-    rows inside it are grouped by value. Only those counts are ordered, so neither ties nor one
-    hot value reach a single task as rows.
+    A constant-size sketch brackets each wanted rank; rows below a bracket are only counted and rows
+    inside it are grouped by value. Only those counts are ordered, so neither ties nor one hot value
+    reach a single task as rows. The same steps serve every size.
     """
-    # One stored column: the passes below never replay what produced it.
     values = cut_lineage(df.select(value.cast("double").alias("v")).where("v IS NOT NULL"))
     n = values.count()
     if n == 0:
         return [None] * len(probs)
-    if n <= single_task_rows:
-        return list(values.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0])
     ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    found = _values_at_ranks(values, n, ranks, single_task_rows)
+    found = _values_at_ranks(values, n, ranks, ordered_values)
     out = []
     for p in probs:
         position = p * (n - 1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from atalaya.constants import MIN_SCORE, TOP_K
 
-# Bytes of query vectors shipped to every executor at once; larger query sets run in blocks.
-QUERY_BLOCK_BYTES = 64 << 20
+TILE = 1024
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -22,59 +20,99 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _block_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str,
-                vector: str) -> DataFrame:
-    """Top-k of one query block of checked size: one scan of the corpus, k rows per batch out."""
-    table = queries.select(query_id, vector).toArrow()
-    ids = table.column(query_id).to_pylist()
-    spark = corpus.sparkSession
-    schema = (f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
-              f"{corpus_id} {corpus.schema[corpus_id].dataType.simpleString()}, sim double")
-    if not ids:
-        return spark.createDataFrame([], schema)
-    vectors = table.column(vector).combine_chunks()
-    dim = len(vectors[0])
-    shared = spark.sparkContext.broadcast((ids, _unit(vectors.flatten().to_numpy(zero_copy_only=False), dim)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            block = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), dim)
-            order = np.argsort(keys, kind="stable")
-            keys, block = keys[order], block[order]
-            out_q, out_c, out_s = [], [], []
-            for start in range(0, len(matrix), 512):
-                # Stable sort on the similarity: equal scores keep the smaller corpus id.
-                sims = matrix[start:start + 512] @ block.T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                for row in range(len(sims)):
-                    out_q += [query_ids[start + row]] * best.shape[1]
-                    out_c += keys[best[row]].tolist()
-                    out_s += sims[row, best[row]].tolist()
-            yield pa.RecordBatch.from_pydict({query_id: out_q, corpus_id: out_c, "sim": out_s})
-
-    return corpus.select(corpus_id, vector).mapInArrow(scan, schema)
+def _ids(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=str if pa.types.is_string(column.type) else None)
+
+
+class _Best:
+    """The k best corpus rows of each query met so far; equal scores keep the smaller id."""
+
+    def __init__(self, vectors: np.ndarray, k: int) -> None:
+        self.vectors, self.k = vectors, k
+        self.rows, self.sims, self.keys = np.zeros(0, np.int64), np.zeros(0), None
+        self.floor = np.full(len(vectors), -np.inf)
+
+    def meet(self, keys: np.ndarray, block: np.ndarray) -> None:
+        for q in range(0, len(self.vectors), TILE):
+            sims = self.vectors[q:q + TILE] @ block.T
+            floor = self.floor[q:q + TILE]
+            if sims.shape[1] > self.k:
+                floor = np.maximum(floor, np.partition(sims, -self.k, axis=1)[:, -self.k])
+            row, col = np.nonzero(sims >= floor[:, None])
+            self.rows = np.concatenate([self.rows, row + q])
+            self.sims = np.concatenate([self.sims, sims[row, col]])
+            self.keys = keys[col] if self.keys is None else np.concatenate([self.keys, keys[col]])
+        order = np.lexsort((self.keys, -self.sims, self.rows))
+        rows = self.rows[order]
+        count = np.bincount(rows, minlength=len(self.vectors))
+        first = np.cumsum(count) - count
+        kept = order[np.arange(len(rows)) - np.repeat(first, count) < self.k]
+        self.rows, self.sims, self.keys = self.rows[kept], self.sims[kept], self.keys[kept]
+        full = np.flatnonzero(count >= self.k)
+        count = np.minimum(count, self.k)
+        self.floor[full] = self.sims[(np.cumsum(count) - 1)[full]]
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_id: str = "query_id",
-                corpus_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+                corpus_id: str = "vec_id", vector: str = "embedding", query_block: int = 8192,
+                lanes: int = 16) -> DataFrame:
     """Exact k nearest by cosine. Score = 1 - distance, rounded to 3 decimals.
 
-    Similarities are matrix products inside the scan of the corpus; only k candidates per query
-    and batch are shuffled, so no query-corpus pair table ever exists. Queries beyond the block
-    size are split by hash into several such scans.
+    Queries are dealt into blocks and the corpus into lanes; a task reads one block and then streams
+    one lane past it, keeping k rows per query. So queries never pass through the driver and k rows
+    per query and lane are shuffled, however large the corpus is. Null vectors and vectors with a
+    null component take no part; vectors meet only those of the same length.
     """
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // QUERY_BLOCK_BYTES))
-    parts = []
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(
-            F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        parts.append(_block_topk(block, corpus, k, query_id, corpus_id, vector))
-    hits = reduce(DataFrame.unionByName, parts)
+    def usable(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("vec"))
+        return rows.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND forall(vec, v -> v IS NOT NULL)")
+
+    asked, offered = usable(queries, query_id), usable(corpus, corpus_id)
+    q_type, c_type = queries.schema[query_id].dataType.simpleString(), corpus.schema[corpus_id].dataType.simpleString()
+    blocks = max(1, -(-asked.count() // query_block))
+    start = F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")) * lanes
+    lane = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(lanes).cast("long"))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = asked.select(F.size("vec").alias("dim"), F.explode(F.sequence(start, start + (lanes - 1))).alias("cell"), F.lit(0).alias("role"),
+                        F.col("id").alias("q"), none(c_type).alias("c"), "vec")
+    right = offered.select(F.size("vec").alias("dim"), F.explode(F.sequence(lane, lane + (blocks - 1) * lanes, F.lit(lanes).cast("long"))).alias("cell"),
+                           F.lit(1).alias("role"), none(q_type).alias("q"), F.col("id").alias("c"), "vec")
+    cells = left.unionByName(right).repartition("dim", "cell").sortWithinPartitions("dim", "cell", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, names, best, types = None, [], [], None, None
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if best is not None and best.keys is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[r] for r in best.rows], types[0]), pa.array(best.keys.tolist(), types[1]), pa.array(best.sims)],
+                    [query_id, corpus_id, "sim"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            types = batch.column("q").type, batch.column("c").type
+            dim, own, role = (batch.column(n).to_numpy() for n in ("dim", "cell", "role"))
+            flat, ends = batch.column("vec").flatten().to_numpy(zero_copy_only=False), np.cumsum(dim)
+            cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(own) != 0) | (np.diff(role) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(dim)]):
+                if (dim[a], own[a]) != cell:
+                    yield from answer()
+                    cell, held, names, best = (dim[a], own[a]), [], [], None
+                block = _unit(flat[ends[a] - dim[a]:ends[b - 1]], int(dim[a]))
+                if role[a] == 0:
+                    held.append(block)
+                    names += batch.column("q")[a:b].to_pylist()
+                    continue
+                if held:
+                    best, held = _Best(np.concatenate(held), k), []
+                if best is not None:
+                    for r in range(0, b - a, 4 * TILE):
+                        stop = min(b - a, r + 4 * TILE)
+                        best.meet(_ids(batch.column("c")[a + r:a + stop]), block[r:stop])
+        yield from answer()
+
+    hits = cells.mapInArrow(run, f"{query_id} {q_type}, {corpus_id} {c_type}, sim double")
     order = Window.partitionBy(query_id).orderBy(F.desc("sim"), corpus_id)
     return hits.withColumn("puesto", F.row_number().over(order)).where(F.col("puesto") <= k).select(
         query_id, "puesto", corpus_id, F.round("sim", 3).alias("score"))

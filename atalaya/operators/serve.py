@@ -11,6 +11,8 @@ from atalaya.operators.quantiles import exact_quantiles, step_class
 from atalaya.session import cut_lineage
 
 # Columns a caller may sort alerts by.
+# The largest page and offset that are served.
+MAX_PAGE, MAX_OFFSET = 200, 1_000_000
 SORT_COLUMNS = ["periodo", "municipio", "departamento", "categoria", "cantidad", "score_z",
                 "severidad"]
 SEARCH_COLUMNS = ["municipio", "departamento", "categoria"]
@@ -56,7 +58,7 @@ def alerts(anomalies: DataFrame, severity: str = "", q: str = "", sort: str = "p
     column = sort if sort in SORT_COLUMNS else "periodo"
     first = F.col(column).asc() if direction.lower() == "asc" else F.col(column).desc()
     ordered = found.orderBy(first, F.desc("periodo"), "cod_municipio", "categoria")
-    page_rows = ordered.offset(max(offset, 0)).limit(max(1, min(int(limit), 500)))
+    page_rows = ordered.offset(max(0, min(int(offset), MAX_OFFSET))).limit(max(1, min(int(limit), MAX_PAGE)))
     shown = page_rows.select("cod_municipio", "municipio", "departamento", "categoria",
                              period_str(F.col("periodo")).alias("periodo"), "cantidad", "score_z",
                              "severidad")

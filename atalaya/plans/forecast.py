@@ -21,6 +21,9 @@ from atalaya.session import cut_lineage
 
 Factory = Callable[[], Estimator]
 
+# Rows that one task permutes among themselves.
+PERMUTED_ROWS = 200_000
+
 
 def default_estimator(iterations: int = 400, depth: int = 8, rate: float = 0.05,
                       seed: int = 42) -> GBTRegressor:
@@ -247,30 +250,31 @@ def shocked_forecast(fitted: Forecaster, code: str, pct: float, horizon: int = 6
     return forecast(fitted, horizon, prepared=Prepared(rows, base.mode, base.features, base.first_year))
 
 
-def permutation_importance(fitted: Forecaster, sample: int = 20_000, repeats: int = 5,
+def permutation_importance(fitted: Forecaster, sample: int | None = None, repeats: int = 5,
                            seed: int = 42) -> DataFrame:
-    """Rise in absolute error when one input is shuffled, on a bounded sample of rows.
+    """Rise in absolute error when one input is shuffled, over all complete rows or a sample of them.
 
-    All (input, repeat) pairs are scored in one pass: each sampled row is repeated per pair and
-    takes the input of another sampled row, matched through a random position.
+    All (input, repeat) pairs are scored in one pass: each row is repeated per pair and takes the
+    input of another row, the one behind it in an order of its own for each pair.
     """
     prepared = fitted.prepared
     names = prepared.features
     complete = prepared.rows.where(F.col(f"lag_{max(LAGS)}").isNotNull())
-    order = F.xxhash64(*SERIES_KEY, "periodo", F.lit(seed))
-    # The operator samples by definition; numbering at most `sample` rows is bounded work.
-    drawn = complete.orderBy(order, *SERIES_KEY, "periodo").limit(sample)
-    position = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order, *SERIES_KEY, "periodo"))
-    base = cut_lineage(drawn.select(
-        position.alias("id"), F.col("objetivo").alias("y"),
+    if sample is not None:
+        complete = complete.orderBy(F.xxhash64(*SERIES_KEY, "periodo", F.lit(seed)), *SERIES_KEY, "periodo").limit(sample)
+    base = cut_lineage(complete.select(
+        *SERIES_KEY, "periodo", F.col("objetivo").alias("y"),
         F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("x")))
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(len(names) * repeats - 1))).alias("g")
-    shuffled = base.select("id", "y", "x", pairs).withColumn(
-        "pos", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id", "g", F.lit(seed)), "id")))
-    donor = base.select(F.col("id").alias("pos"), F.col("x").alias("_x"))
-    feature = F.floor(F.col("g") / repeats).cast("int")
-    mixed = shuffled.join(donor, "pos").withColumn("f", feature).select(
-        "g", "f", "y", F.transform("x", lambda v, i: F.when(i == F.col("f"), F.get("_x", i)).otherwise(v)).alias("x"))
+    # Each pair permutes within random blocks of rows, so no task orders the whole table.
+    blocks = base.count() // PERMUTED_ROWS + 1
+    place = F.xxhash64(*SERIES_KEY, "periodo", "g", F.lit(seed))
+    dealt = base.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(len(names) * repeats - 1)))).withColumns({
+        "f": F.floor(F.col("g") / repeats).cast("int"), "place": place}).withColumns({
+        "block": F.pmod(F.xxhash64("place"), F.lit(blocks)), "own": F.get("x", F.col("f"))})
+    order = Window.partitionBy("g", "block").orderBy("place", *SERIES_KEY, "periodo")
+    dealt = dealt.withColumn("other", F.coalesce(F.lead("own").over(order), F.first("own").over(order)))
+    mixed = dealt.select(
+        "g", "f", "y", F.transform("x", lambda v, i: F.when(i == F.col("f"), F.col("other")).otherwise(v)).alias("x"))
     plain = base.select(F.lit(-1).alias("g"), F.lit(-1).alias("f"), "y", "x")
     scored = fitted.model.transform(
         mixed.unionByName(plain).withColumn("features", array_to_vector("x")))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from atalaya.constants import MIN_YEAR_EVENTS, PLACEHOLDER, UNIFIED_COLUMNS
 from atalaya.functions import category_canon, norm_text, parse_dates, parse_quantity, territory_code
 from atalaya.functions.territory import pad_code
-from atalaya.operators.joins import size_checked
 from atalaya.sources.catalog import CATALOG, SourceSpec
 
 
@@ -76,12 +75,13 @@ def build_events(sources: dict[str, DataFrame], catalog: list[SourceSpec] = CATA
 def apply_names(events: DataFrame, reference: DataFrame) -> DataFrame:
     """Official names where the code is known, the source's own names elsewhere.
 
-    A reference of proven size is broadcast, so the event table is not shuffled.
+    Spark broadcasts a reference that its size statistics show to be small; otherwise adaptive
+    execution splits the partitions of a hot code.
     """
     official = reference.select(
         F.col("cod_municipio").alias("_code"), F.col("municipio").alias("_m"),
         F.col("departamento").alias("_d"), F.col("cod_departamento").alias("_cd"))
-    joined = events.join(size_checked(official), F.col("cod_municipio") == F.col("_code"), "left")
+    joined = events.join(official, F.col("cod_municipio") == F.col("_code"), "left")
     return joined.withColumns({
         "municipio": F.coalesce("_m", "municipio"),
         "departamento": F.coalesce("_d", "departamento"),

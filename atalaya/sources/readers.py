@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from atalaya.functions import parse_coord, strip_marks
+from atalaya.functions import number, parse_coord, strip_marks
 from atalaya.functions.territory import pad_code
 
 HEADER_SEARCH_ROWS = 30
@@ -49,8 +49,8 @@ def parse_population(cells: DataFrame) -> DataFrame:
     body = body.where(F.trim(strip_marks(F.col("area"), lower=False)) == "TOTAL")
     out = body.select(
         pad_code(F.regexp_replace("code", r"\D", ""), 5).alias("cod_municipio"),
-        F.trim("year").try_cast("double").try_cast("bigint").alias("anio"),
-        F.trim("people").try_cast("double").try_cast("bigint").alias("poblacion"))
+        number(F.col("year")).try_cast("bigint").alias("anio"),
+        number(F.col("people")).try_cast("bigint").alias("poblacion"))
     return out.where("cod_municipio IS NOT NULL AND anio IS NOT NULL AND poblacion > 0 "
                      "AND NOT startswith(cod_municipio, '00')")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from atalaya.session import path_exists
+
 
 def write_layer(df: DataFrame | None, path: str, spark: SparkSession | None = None) -> None:
     """Overwrite a layer table; `None` empties an optional output whose input is gone."""
@@ -11,16 +13,19 @@ def write_layer(df: DataFrame | None, path: str, spark: SparkSession | None = No
         df.write.mode("overwrite").parquet(path)
         return
     session = spark or SparkSession.active()
-    try:
-        schema = session.read.parquet(path).schema
-    except Exception:  # the optional output was never written
+    if not path_exists(session, path):  # the optional output was never written
         return
+    schema = session.read.parquet(path).schema
     session.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def write_table(df: DataFrame, table: str, cols: list[str]) -> None:
-    """Replace a catalog table with the selected columns."""
-    df.select(*cols).write.mode("overwrite").saveAsTable(table)
+    """Load the selected columns into a catalog table; one that exists is emptied and keeps its definition."""
+    rows = df.select(*cols)
+    if df.sparkSession.catalog.tableExists(table):
+        rows.write.mode("overwrite").insertInto(table, overwrite=True)
+    else:
+        rows.write.saveAsTable(table)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, cols: list[str],

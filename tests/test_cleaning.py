@@ -25,7 +25,8 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("text,want", [
     ("Manizales (CT)", "MANIZALES"), ("BOGOTÁ D.C.", "BOGOTA D.C."), (None, "NO REPORTADO"), ("", "NO REPORTADO"),
-    ("nan", "NO REPORTADO"), ("  san   josé ", "SAN JOSE"), ("ﬁn ½", "FIN 12"), ("(CT)", "NO REPORTADO")])
+    ("nan", "NO REPORTADO"), ("  san   josé ", "SAN JOSE"), ("ﬁn ½", "FIN 12"), ("(CT)", "NO REPORTADO"),
+    ("\tBogotá\n", "BOGOTA"), ("\u00a0Bogotá\u00a0", "BOGOTA"), ("\n \t", "NO REPORTADO"), ("x\U0001f130\U0001fbf1", "XA1")])
 def test_norm_text(spark, text, want):
     assert one(spark, A.norm_text(F.lit(text).cast("string"))) == want
 
@@ -37,9 +38,13 @@ def test_parse_dates(spark, text, fmt, want):
     assert one(spark, A.parse_dates(F.lit(text), fmt)) == want
 
 
+def test_strip_marks_of_composed_kana(spark):
+    assert one(spark, A.strip_marks(F.lit("ガぎ Ñandú"))) == "カき nandu"
+
+
 @pytest.mark.parametrize("text,want", [
     ("4,649251", 4.649251), ("-74,106992", -74.106992), ("-75,581,775", -75.581775), ("6,246,631", 6.246631),
-    (None, None), ("", None), ("nan", None), ("181,5", None)])
+    (None, None), ("", None), ("nan", None), ("4,5f", None), ("181,5", None)])
 def test_parse_coord(spark, text, want):
     assert one(spark, A.parse_coord(F.lit(text).cast("string"))) == want
 
@@ -54,7 +59,7 @@ def test_small_functions(spark):
     assert one(spark, A.fmt_thousands(F.lit(23029390))) == "23.029.390"
     assert one(spark, A.fmt_pct(F.lit(8.51))) == "8,51 %"
     assert one(spark, A.category_canon(F.lit("ARTICULO 239. HURTO MOTOCICLETAS"))) == "HURTO_MOTOCICLETAS"
-    assert [one(spark, A.parse_quantity(F.lit(t))) for t in ("2.7", "x", "-3", "4")] == [2, 1, 0, 4]
+    assert [one(spark, A.parse_quantity(F.lit(t))) for t in ("2.7", "x", "-3", "4", "2d", " 5\t", "1e2", "nan")] == [2, 1, 0, 4, 1, 5, 100, 1]
     stages = ["Indagación", "Investigación", "Juicio", "Ejecución De Penas", "Sin Información"]
     assert [one(spark, A.stage_class(F.lit(s))) for s in stages] == [
         "indagacion", "judicializado", "judicializado", "judicializado", "desconocido"]

@@ -129,7 +129,7 @@ def test_corroboration(spark):
 def test_exact_quantiles_beyond_one_task(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.8, 0.97, 1.0]
-    got = quantiles.exact_quantiles(df, F.col("v"), probs, single_task_rows=50)
+    got = quantiles.exact_quantiles(df, F.col("v"), probs, ordered_values=50)
     assert got == pytest.approx(np.quantile(values.astype(float), probs).tolist(), rel=1e-12)
 
 

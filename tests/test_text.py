@@ -123,6 +123,8 @@ def test_answers(spark):
     def ev(c):
         return spark.range(1).select(c.alias("x")).first().x
 
+    assert ev(ANS.extract_integers(F.lit("23\u00a0029\u00a0390; " + "9" * 45 + " y ٣٤"))) == ["23029390", "9" * 45, "34"]
+    assert not ev(ANS.invents_figures(F.lit("1\u00a0999 y 2024"))) and ev(ANS.invents_figures(F.lit("9" * 45)))
     ints = {int(x) for x in ev(ANS.extract_integers(F.lit("De 23.029.390 procesos, 13,555 casos y 97 en 2024; 8,51 %")))}
     assert {23029390, 13555, 97, 2024} <= ints and 851 not in ints
     assert ev(ANS.contains_decimal(F.lit("es 8,51 %"), F.lit(8.51))) and not ev(ANS.contains_decimal(F.lit("es 851"), F.lit(8.51)))
@@ -137,8 +139,11 @@ def test_topk_in_blocks_equals_numpy(spark, monkeypatch):
     vectors[5] = 0
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
     queries = df.withColumnRenamed("vec_id", "query_id")
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 1000)
-    got = {(r.query_id, r.puesto): r.vec_id for r in retrieval.vector_topk(queries, df.repartition(5), 3).collect()}
+    odd = spark.createDataFrame([(900, None), (901, [1.0, None]), (902, [1.0] * 3), (None, [1.0] * 8)], df.schema)
+    # No query vector may pass through the driver.
+    monkeypatch.setattr(type(df), "toArrow", None)
+    hits = retrieval.vector_topk(queries, df.unionByName(odd).repartition(5), 3, query_block=16, lanes=4)
+    got = {(r.query_id, r.puesto): r.vec_id for r in hits.collect()}
     norm = np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
     unit = np.divide(vectors.astype(float), norm, out=np.zeros(vectors.shape), where=norm > 0)
     sims = unit @ unit.T
