@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from atalaya.session import ensure_checkpoint_dir, prepare
-
-_STORED: list[str] = []
+from atalaya.session import prepare, release, scratch_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +16,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back.
 
     Later steps then read the files, so losing an executor replays none of the work before them.
+    `release` deletes them when all results have been consumed.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm-{tag}")
     df.write.parquet(path)
-    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table that `stored` wrote; call it when all results have been consumed."""
-    count = len(_STORED)
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return count
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty. Texts of plain ASCII take the fast path."""
     text = F.coalesce(text, F.lit(""))
