@@ -138,9 +138,13 @@ def _(spark, sf):
 @query("funnel_lookup", sql("""
     SELECT CAST(sum(total_procesos) AS BIGINT) AS total_procesos, CAST(sum(n_judicializados) AS BIGINT) AS n_judicializados,
       CAST(sum(procesos_etapa_conocida) AS BIGINT) AS procesos_etapa_conocida,
-      round(100.0 * sum(n_judicializados) / greatest(sum(procesos_etapa_conocida), 1), 2) AS tasa_judicializacion_pct FROM rates"""))
+      round(100.0 * sum(n_judicializados) / greatest(sum(procesos_etapa_conocida), 1), 2) AS tasa_judicializacion_pct,
+      (SELECT string_agg(titulo_delito || ': ' || format('{:.2f}', r), '; ' ORDER BY r, titulo_delito) FROM (SELECT titulo_delito, tasa_judicializacion_pct AS r
+        """ + ELIGIBLE + """ ORDER BY r, titulo_delito LIMIT 3)) AS menor_tasa,
+      (SELECT string_agg(titulo_delito || ': ' || format('{:.2f}', r), '; ' ORDER BY r DESC, titulo_delito) FROM (SELECT titulo_delito, tasa_judicializacion_pct AS r
+        """ + ELIGIBLE + """ ORDER BY r DESC, titulo_delito LIMIT 3)) AS mayor_tasa FROM rates"""))
 def _(spark, sf):
-    return funnel.funnel_lookup(B.rates(spark, sf))
+    return funnel.funnel_lookup(B.rates(spark, sf), titles=funnel.funnel_rate(B.cube(spark, sf), "title"), min_known=MIN_TITLE)
 
 
 @query("funnel_lookup_territory", sql("""
@@ -167,13 +171,13 @@ def _two(x: str) -> str:
       || ' superaron la indagación (' || {_two('tasa_judicializacion_pct')} || '% de los de etapa conocida).', 'titulo' FROM titles
     UNION ALL SELECT 'Justicia en ' || municipio || ' (' || departamento || '), código DANE ' || cod_municipio || ': ' || total_procesos
       || ' procesos, ' || n_judicializados || ' judicializados (superaron la indagación). Tasa de judicialización: ' || {_two('t')} || '%.', 'municipio'
-      FROM (SELECT * FROM s ORDER BY total_procesos DESC, cod_municipio LIMIT 12)
+      FROM (SELECT * FROM s ORDER BY total_procesos DESC, cod_municipio LIMIT 200)
     UNION ALL SELECT 'Títulos por tasa de judicialización. Mayor tasa: '
       || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t DESC, l) FROM (SELECT * FROM e ORDER BY t DESC, l LIMIT 3)) || '. Menor tasa: '
       || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t, l) FROM (SELECT * FROM e ORDER BY t, l LIMIT 3)) || '.', 'ranking-titulo'
     UNION ALL SELECT 'Municipios por tasa de judicialización. Mayor tasa: '
-      || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t DESC, l) FROM (SELECT * FROM m ORDER BY t DESC, l LIMIT 6)) || '. Menor tasa: '
-      || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t, l) FROM (SELECT * FROM m ORDER BY t, l LIMIT 6)) || '.', 'ranking') WHERE content IS NOT NULL"""))
+      || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t DESC, l) FROM (SELECT * FROM m ORDER BY t DESC, l LIMIT 15)) || '. Menor tasa: '
+      || (SELECT string_agg(l || ': ' || {_two('t')} || '%', ', ' ORDER BY t, l) FROM (SELECT * FROM m ORDER BY t, l LIMIT 15)) || '.', 'ranking') WHERE content IS NOT NULL"""))
 def _(spark, sf):
-    cards = corpus.cards_funnel(B.cube(spark, sf), B.reference(spark, sf), 12, MIN_TITLE, MIN_TERRITORY, 6)
+    cards = corpus.cards_funnel(B.cube(spark, sf), B.reference(spark, sf), min_title=MIN_TITLE, min_territory=MIN_TERRITORY)
     return cards.select("content", F.col("metadata")["alcance"].alias("alcance"))

@@ -11,7 +11,7 @@ from atalaya.bindings import frames as B
 from atalaya.bindings.registry import query
 from atalaya.bindings.sql_base import CTES, sql
 from atalaya.operators import quality
-from atalaya.session import ensure_checkpoint_dir
+from atalaya.session import cut_lineage, scratch_path
 from atalaya.sources import events as E, readers as R, sinks as S
 from atalaya.sources.catalog import SourceSpec
 
@@ -106,7 +106,7 @@ def _(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    return scratch_path(spark, "export")
 
 
 @query("scan_csv_comments", sql("SELECT cod_municipio, periodo, categoria FROM doc_events"))
@@ -147,21 +147,30 @@ def _(spark, sf):
 
 
 @query("lineage_record", """
-    SELECT 'nation' AS fuente, count(*) AS rows, CAST(3 AS INTEGER) AS n_columns,
-      'c_custkey,c_nationkey,c_mktsegment' AS columns, CAST(NULL AS INTEGER) AS row_cap, false AS capped,
-      CAST(sum(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(c_nationkey AS VARCHAR) || '|'
-        || c_mktsegment), 1, 12) AS BIGINT)) AS VARCHAR) AS content_hash FROM customer""")
+    SELECT 'customer' AS fuente, count(*) AS rows, CAST(5 AS INTEGER) AS n_columns,
+      'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns, CAST(NULL AS INTEGER) AS row_cap, false AS capped,
+      CAST(sum(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || c_name || '|' || CAST(c_nationkey AS VARCHAR) || '|'
+        || CAST(c_acctbal AS VARCHAR) || '|' || c_mktsegment), 1, 12) AS BIGINT)) AS VARCHAR) AS content_hash FROM customer""")
 def _(spark, sf):
-    return R.lineage(R.load(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"]), "nation")
+    return R.lineage(R.load(spark, sf, "customer"), "customer")
 
 
-@query("file_checksum")
+@query("file_checksum", """
+    SELECT source || '.txt' AS fichero, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, source <> 'src3' AS coincide
+    FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""")
 def _(spark, sf):
-    """Every table file next to published values: here, its own sizes and one wrong entry."""
-    files = spark.read.format("binaryFile").load(f"{sf}/*.parquet").select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("fichero"), F.sha2("content", 256).alias("sha256"),
-        F.when(F.col("path").endswith("/part.parquet"), F.lit(-1)).otherwise(F.col("length")).alias("bytes"))
-    return R.verify_files(spark, f"{sf}/*.parquet", files).select("fichero", "bytes", "coincide")
+    """Files of the document texts of each source next to digests computed from the table, one of them wrong."""
+    docs = R.load(spark, sf, "documents", ["doc_id", "source", "text"]).where("text IS NOT NULL AND source IS NOT NULL")
+    path = _scratch(spark)
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path)
+    line = F.concat("text", F.lit("\n"))
+    texts = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("t")))),
+                                                                lambda r: r["t"]), "").alias("all"))
+    published = texts.select(
+        F.concat("source", F.lit(".txt")).alias("fichero"), F.sha2(F.col("all").cast("binary"), 256).alias("sha256"),
+        (F.octet_length("all") + F.when(F.col("source") == "src3", 1).otherwise(0)).cast("bigint").alias("bytes"))
+    name = F.concat(F.regexp_extract("path", "source=([^/]+)", 1), F.lit(".txt"))
+    return R.verify_files(spark, f"{path}/source=*/*.txt", published, name).select("fichero", "bytes", "coincide")
 
 
 @query("group_count_merge", sql("SELECT cod_municipio, categoria, segmento, count(*) AS n FROM events_u GROUP BY ALL"))
@@ -185,13 +194,15 @@ def _(spark, sf):
 
 @query("sink_relational", sql("SELECT cod_municipio, total_hechos, municipio FROM summary"))
 def _(spark, sf):
-    """Truncate-and-load of selected columns into a table of the session catalog."""
-    table = f"carga_{uuid.uuid4().hex}"
-    path = _scratch(spark)
-    df = B.summary(spark, sf).select("cod_municipio", "total_hechos", "municipio")
-    spark.createDataFrame([], df.schema).write.option("path", path).saveAsTable(table)
-    df.write.mode("overwrite").option("path", path).saveAsTable(table)
-    return spark.table(table)
+    """Loads into a table of the session catalog; the second empties it and keeps its definition."""
+    table, cols = f"carga_{uuid.uuid4().hex}", ["cod_municipio", "total_hechos", "municipio"]
+    rows = B.summary(spark, sf)
+    spark.createDataFrame([], rows.select(*cols).schema).write.option("path", _scratch(spark)).saveAsTable(table)
+    S.write_table(rows.limit(3), table, cols)
+    S.write_table(rows, table, cols)
+    loaded = cut_lineage(spark.table(table))
+    spark.sql(f"DROP TABLE {table}")
+    return loaded
 
 
 @query("sink_json_report", sql("""
@@ -215,14 +226,25 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- scalar functions
-@query("norm_text", sql(f"SELECT o_orderkey, {clean('municipio')} AS municipio, {clean('zona')} AS zona FROM raw_iso"))
-def _(spark, sf):
-    key = F.col("o_orderkey")
-    rows = B.order_facts(spark, sf).where("o_orderstatus = 'F'")
-    name = (F.when(key % 3 == 0, F.concat("n_name", F.lit(" (CT)")))
-            .when(key % 3 == 1, F.translate(F.lower("n_name"), "ao", "áó"))
-            .otherwise(F.concat(F.lit("  "), "n_name", F.lit(" "))))
-    zone = F.when(key % 7 == 0, "").when(key % 11 == 0, None).otherwise("Urbana")
+CTES["odd_names"] = """
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN municipio || ' (CT)' WHEN 1 THEN translate(lower(municipio), 'ao', 'áó')
+        WHEN 2 THEN '  ' || municipio || ' ' WHEN 3 THEN chr(9) || municipio || chr(10) ELSE chr(160) || municipio || chr(160) END AS municipio,
+      CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN ' ' || chr(10) ELSE 'Urbana' END AS zona
+    FROM orders JOIN (SELECT o_orderkey, municipio FROM events_u) USING (o_orderkey)"""
+
+
+def clean_spaces(col: str) -> str:
+    return clean(f"regexp_replace({col}, '[\\s\\x{{a0}}]+', ' ', 'g')")
+
+
+@query("norm_text", sql(f"SELECT o_orderkey, {clean_spaces('municipio')} AS municipio, {clean_spaces('zona')} AS zona FROM odd_names"))
+def _(spark, sf):
+    key, name = F.col("o_orderkey"), F.col("n_name")
+    rows = B.order_facts(spark, sf)
+    name = (F.when(key % 5 == 0, F.concat(name, F.lit(" (CT)")))
+            .when(key % 5 == 1, F.translate(F.lower(name), "ao", "áó")).when(key % 5 == 2, F.concat(F.lit("  "), name, F.lit(" ")))
+            .when(key % 5 == 3, F.concat(F.lit("\t"), name, F.lit("\n"))).otherwise(F.concat(F.lit("\u00a0"), name, F.lit("\u00a0"))))
+    zone = F.when(key % 7 == 0, "").when(key % 11 == 0, None).when(key % 13 == 0, " \n").otherwise("Urbana")
     return rows.select(key, A.norm_text(name).alias("municipio"), A.norm_text(zone).alias("zona"))
 
 
@@ -418,13 +440,14 @@ def _(spark, sf):
     return quality.source_inventory(spark, B.RAW_CATALOG, B.raw_sources(spark, sf))
 
 
-@query("completeness", "SELECT unnest(['doc_id', 'text', 'lang', 'quality']) AS columna, unnest([100.0::DOUBLE, "
-       "round(100.0 * count(text) / count(*), 2), round(100.0 * count(lang) / count(*), 2), "
-       "round(100.0 * count(quality) / count(*), 2)]) AS completitud_pct FROM documents LEFT JOIN labels USING (doc_id)")
+LABELLED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+
+
+@query("completeness", "SELECT unnest([" + ", ".join(f"'{c}'" for c in LABELLED) + "]) AS columna, unnest(["
+       + ", ".join(f"round(100.0 * count({c}) / count(*), 2)" for c in LABELLED)
+       + "]) AS completitud_pct FROM documents LEFT JOIN labels USING (doc_id)")
 def _(spark, sf):
-    labels = R.load(spark, sf, "labels", ["doc_id", "quality"])
-    docs = R.load(spark, sf, "documents", ["doc_id", "text", "lang"]).join(labels, "doc_id", "left")
-    return quality.completeness(docs)
+    return quality.completeness(R.load(spark, sf, "documents").join(R.load(spark, sf, "labels"), "doc_id", "left"))
 
 
 TEXT_COLUMNS = ["cod_departamento", "departamento", "cod_municipio", "municipio", "zona", "categoria", "arma_medio",
@@ -487,18 +510,29 @@ def _(spark, sf):
     return quality.duplicate_share(norm_events(spark, sf))
 
 
-PROFILE = {"o_orderstatus": False, "o_orderpriority": False, "o_custkey": True, "o_totalprice": True}
+PROFILE = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "dia": False, "o_orderpriority": False}
+
+
+def profile_sql(c: str, number: bool) -> str:
+    """The profile row of one column of `o`."""
+    num = lambda x: x if number else "CAST(NULL AS DOUBLE)"
+    x = f"CAST({c} AS DOUBLE)"
+    plain = "CAST(NULL AS VARCHAR)" if number else f"{c}::VARCHAR"
+    ranked = f"SELECT {c}::VARCHAR AS v, count(*) AS k FROM o WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k DESC, v LIMIT 5"
+    quarts = ", ".join(num(f"round(quantile_cont({x}, {q / 100}), 4)") + f" AS q{q}" for q in (25, 50, 75))
+    return f"""
+    SELECT '{c}' AS columna, count(*) AS n, count(*) - count({c}) AS nulos, min({plain}) AS minimo, max({plain}) AS maximo,
+      {num(f'min({x})')} AS minimo_num, {num(f'max({x})')} AS maximo_num, {num(f'round(avg({x}), 4)')} AS media,
+      {num(f'round(stddev_samp({x}), 4)')} AS desviacion, count(DISTINCT {c}) AS distintos, {quarts},
+      (SELECT first(v ORDER BY k DESC, v) FROM ({ranked})) AS mas_frecuente, (SELECT max(k) FROM ({ranked})) AS n_mas_frecuente,
+      (SELECT string_agg(v || ' (' || k || ')', '; ' ORDER BY k DESC, v) FROM ({ranked})) AS frecuentes FROM o"""
 
 
-@query("column_profile", "\nUNION ALL\n".join(f"""
-    SELECT '{c}' AS columna, count(*) AS n, count(*) - count({c}) AS nulos, count(DISTINCT {c}) AS distintos,
-      min({c}::VARCHAR) AS minimo, max({c}::VARCHAR) AS maximo,
-      {f'round(avg(CAST({c} AS DOUBLE)), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS media,
-      (SELECT {c}::VARCHAR FROM orders GROUP BY {c} ORDER BY count(*) DESC, {c}::VARCHAR LIMIT 1) AS mas_frecuente,
-      (SELECT count(*) FROM orders GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS n_mas_frecuente FROM orders"""
-                                              for c, num in PROFILE.items()))
+@query("column_profile", "WITH o AS (SELECT * EXCLUDE (o_orderdate), CAST(o_orderdate AS DATE) AS dia FROM orders)"
+       + "\nUNION ALL\n".join(profile_sql(c, number) for c, number in PROFILE.items()))
 def _(spark, sf):
-    return quality.column_profile(R.load(spark, sf, "orders", list(PROFILE)))
+    orders = R.load(spark, sf, "orders").withColumn("dia", F.to_date("o_orderdate")).drop("o_orderdate")
+    return quality.column_profile(orders)
 
 
 @query("reconcile_checks", sql("""

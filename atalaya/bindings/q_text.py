@@ -38,7 +38,7 @@ CTES["card_territory"] = """
     SELECT 'Municipio: ' || s.municipio || ' (' || s.departamento || '), código DANE ' || s.cod_municipio || '. Total de hechos registrados: '
       || total_hechos || ' entre ' || primer_anio || ' y ' || ultimo_anio || ', en ' || categorias || ' categorías de delito. Delitos más frecuentes: '
       || coalesce(t.l, '') || '.' AS content, 'municipio' AS tipo
-    FROM (SELECT * FROM summary ORDER BY total_delitos DESC, cod_municipio LIMIT 15) s LEFT JOIN (
+    FROM (SELECT * FROM summary ORDER BY total_delitos DESC, cod_municipio LIMIT 300) s LEFT JOIN (
       SELECT cod_municipio, string_agg(categoria || ' (' || total || ')', ', ' ORDER BY r) AS l FROM (SELECT *, row_number() OVER (
         PARTITION BY cod_municipio ORDER BY total DESC, categoria) AS r FROM totals) WHERE r <= 5 GROUP BY cod_municipio) t
     ON s.cod_municipio = t.cod_municipio"""
@@ -67,7 +67,7 @@ def typed(cards):
 
 @query("cards_territory", sql("SELECT content, tipo FROM card_territory"))
 def _(spark, sf):
-    return typed(corpus.cards_territory(B.summary(spark, sf), B.totals(spark, sf), 15))
+    return typed(corpus.cards_territory(B.summary(spark, sf), B.totals(spark, sf)))
 
 
 @query("cards_category", sql("SELECT content, tipo FROM card_category"))
@@ -99,7 +99,7 @@ CONTEXT_SQL = " UNION ALL ".join(f"SELECT '{text}', 'contexto'" for _, text in c
 def _(spark, sf):
     totals = B.totals(spark, sf)
     return typed(corpus.corpus(
-        corpus.cards_territory(B.summary(spark, sf), totals, 15), corpus.cards_category(B.cat_year(spark, sf)),
+        corpus.cards_territory(B.summary(spark, sf), totals), corpus.cards_category(B.cat_year(spark, sf)),
         corpus.cards_ranking(totals), admin_cards(spark, sf), corpus.context_cards(spark),
         corpus.document_cards(load(spark, sf, "documents", ["doc_id", "text", "source"]))))
 

@@ -45,13 +45,18 @@ def meta(**pairs: str | Column) -> Column:
 def chunk_array(flat: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Overlapping windows over a whole text whose white space is already collapsed, as an array.
 
-    The array is cut inside one expression, so exploding it never repeats the full text per row.
+    The text is cut once into pieces of one step, and each is joined to the beginning of what
+    follows, so the work grows with the length of the text.
     """
     step = max(1, size - overlap)
-    count = F.greatest(F.ceil((F.length(flat) - size) / F.lit(step)), F.lit(0)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), count),
-                         lambda i: F.trim(F.substring(flat, i * step + 1, F.lit(size))))
-    return F.filter(pieces, lambda p: p != "")
+    pieces = F.regexp_extract_all(flat, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    windows = pieces
+    for k in range(1, -(-size // step)):
+        behind = F.slice(pieces, k + 1, F.greatest(F.size(pieces), F.lit(1)))
+        windows = F.zip_with(windows, behind, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    count = F.greatest(F.ceil((F.length(flat) - size) / F.lit(step)), F.lit(0)).cast("int") + 1
+    windows = F.transform(F.slice(windows, 1, count), lambda w: F.trim(F.substring(w, 1, size)))
+    return F.filter(windows, lambda w: w != "")
 
 
 def chunk(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
@@ -117,18 +122,20 @@ def cards_ranking(totals: DataFrame, n: int = 15) -> DataFrame:
 def admin_breakdown(df: DataFrame, dims: list[tuple[str, str, int]]) -> DataFrame:
     """Top values per dimension with the number of distinct values.
 
-    Dimensions are unpivoted and counted together; each window partition then holds the distinct
-    values of one dimension.
+    Each dimension is counted on its own from its one column, and its `n` first values are taken
+    task by task, so a dimension of nearly unique values never meets in one place.
     """
-    present = [(c, label, n) for c, label, n in dims if c in df.columns]
-    cells = F.explode(F.array(*[F.struct(F.lit(label).alias("dimension"), F.lit(n).alias("tope"),
-                                         F.col(c).cast("string").alias("valor")) for c, label, n in present]))
-    counts = df.select(cells.alias("c")).select("c.*").where("valor IS NOT NULL").groupBy(
-        "dimension", "tope", "valor").agg(F.count(F.lit(1)).alias("n"))
-    distinct = counts.groupBy("dimension").agg(F.count(F.lit(1)).alias("distintos"))
-    order = Window.partitionBy("dimension").orderBy(F.desc("n"), "valor")
-    top = counts.withColumn("orden", F.row_number().over(order)).where(F.col("orden") <= F.col("tope"))
-    return top.join(distinct, "dimension").select("dimension", "orden", "valor", "n", "distintos")
+    parts = []
+    for c, label, n in dims:
+        if c not in df.columns:
+            continue
+        counts = df.select(F.col(c).cast("string").alias("valor")).where("valor IS NOT NULL").groupBy("valor").agg(
+            F.count(F.lit(1)).alias("n"))
+        order = [F.desc("n"), "valor"]
+        place = F.row_number().over(Window.partitionBy("dimension").orderBy(*order))
+        parts.append(counts.orderBy(*order).limit(n).withColumn("dimension", F.lit(label)).withColumn("orden", place).withColumn(
+            "distintos", counts.agg(F.count(F.lit(1))).scalar()))
+    return reduce(DataFrame.unionByName, parts).select("dimension", "orden", "valor", "n", "distintos")
 
 
 def cards_admin(df: DataFrame, name: str, date_col: str, dims: list[tuple[str, str, int]],

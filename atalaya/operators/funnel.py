@@ -182,14 +182,28 @@ def drilldown(annual: DataFrame, code: str) -> DataFrame:
             .select("anio", "etapa", "clase_etapa", "n_procesos").orderBy("anio", "etapa"))
 
 
-def funnel_lookup(rates: DataFrame, code: str | None = None) -> DataFrame:
-    """National row, or the row of one territory, always over the known-stage denominator."""
+def funnel_lookup(rates: DataFrame, code: str | None = None, titles: DataFrame | None = None,
+                  min_known: int = MIN_KNOWN_TITLE, n: int = 3) -> DataFrame:
+    """National row, or the row of one territory, always over the known-stage denominator.
+
+    With `titles` the national row also lists the `n` titles of lowest and of highest rate.
+    """
     if code is not None:
         return rates.where(F.col("cod_municipio") == code).select(
             "cod_municipio", "municipio", "total_procesos", "n_judicializados",
             "tasa_judicializacion_pct")
-    return rates.agg(
+    national = rates.agg(
         F.sum("total_procesos").alias("total_procesos"),
         F.sum("n_judicializados").alias("n_judicializados"),
         F.sum("procesos_etapa_conocida").alias("procesos_etapa_conocida"),
     ).withColumn("tasa_judicializacion_pct", rate_pct())
+    if titles is None:
+        return national
+    fit = eligible_titles(titles, min_known)
+    rate = F.col("tasa_judicializacion_pct")
+    piece = F.format_string("%s: %.2f", "titulo_delito", "tasa_judicializacion_pct")
+    for name, order, sign in (("menor_tasa", rate.asc(), 1), ("mayor_tasa", rate.desc(), -1)):
+        ends = F.array_sort(F.collect_list(F.struct((rate * sign).alias("k"), "titulo_delito", piece.alias("t"))))
+        ends = fit.orderBy(order, "titulo_delito").limit(n).agg(F.array_join(F.transform(ends, lambda s: s["t"]), "; "))
+        national = national.withColumn(name, F.nullif(ends.scalar(), F.lit("")))
+    return national

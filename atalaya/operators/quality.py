@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from atalaya.constants import PLACEHOLDER
+from atalaya.operators.quantiles import exact_quantiles
 from atalaya.sources.catalog import SourceSpec, catalog_frame
 
 
@@ -107,29 +108,38 @@ def duplicate_share(events: DataFrame, by: str = "fuente",
     )
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """Count, nulls, exact distinct values, range, mean and deviation of every column.
+PROFILE_QUANTILES = [0.25, 0.5, 0.75]
 
-    Values are unpivoted and reduced to (column, value) counts, so that distinct counts and the
-    most frequent value come from one shuffle that any hot value has already been folded into.
+
+def column_profile(df: DataFrame, top: int = 5) -> DataFrame:
+    """Count, nulls, distinct and most frequent values of every column; of numbers also range, mean,
+    deviation and exact quartiles.
+
+    One pass gives the plain statistics of all columns. Values are counted column by column, so
+    columns are never unpivoted and a hot value is folded before it is shuffled.
     """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor"),
-                 (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("x"))
-        for c in df.columns]))
-    cells = df.select(pairs.alias("p")).select("p.*").groupBy("columna", "valor").agg(
-        F.count(F.lit(1)).alias("n"), F.max("x").alias("x"))
-    known = F.col("valor").isNotNull()
-    mean = F.sum(F.col("x") * F.col("n")) / F.sum(F.when(known, F.col("n")))
-    top = F.min_by("valor", F.when(known, F.struct((-F.col("n")).alias("n"), F.col("valor"))))
-    return cells.groupBy("columna").agg(
-        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulos"),
-        F.count_if(known).alias("distintos"), F.min("valor").alias("minimo"),
-        F.max("valor").alias("maximo"), F.round(mean, 4).alias("media"),
-        top.alias("mas_frecuente"),
-        F.max(F.when(known, F.col("n"))).alias("n_mas_frecuente"),
-    )
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    parts = []
+    for c in df.columns:
+        col = F.col(f"`{c}`")
+        number = col.cast("double") if c in numeric else F.lit(None).cast("double")
+        plain = F.lit(None).cast("string") if c in numeric else text(c)
+        counts = df.select(text(c).alias("valor")).where("valor IS NOT NULL").groupBy("valor").agg(F.count(F.lit(1)).alias("n"))
+        first = counts.orderBy(F.desc("n"), "valor").limit(top).agg(F.array_sort(F.collect_list(
+            F.struct((-F.col("n")).alias("k"), "valor", "n")))).scalar()
+        quarts = exact_quantiles(df, number, PROFILE_QUANTILES) if c in numeric else [None] * 3
+        row = df.agg(
+            F.lit(c).alias("columna"), F.count(F.lit(1)).alias("n"), F.count_if(col.isNull()).alias("nulos"),
+            F.min(plain).alias("minimo"), F.max(plain).alias("maximo"), F.min(number).alias("minimo_num"), F.max(number).alias("maximo_num"),
+            F.round(F.avg(number), 4).alias("media"), F.round(F.stddev_samp(number), 4).alias("desviacion"))
+        parts.append(row.withColumn("_top", first).withColumns({
+            "distintos": counts.agg(F.count(F.lit(1))).scalar(),
+            **{f"q{round(100 * q)}": F.round(F.lit(v).cast("double"), 4) for q, v in zip(PROFILE_QUANTILES, quarts)},
+            "mas_frecuente": F.get("_top", F.lit(0))["valor"], "n_mas_frecuente": F.get("_top", F.lit(0))["n"],
+            "frecuentes": F.array_join(F.transform("_top", lambda t: F.concat(t["valor"], F.lit(" ("), t["n"].cast("string"), F.lit(")"))), "; "),
+        }).drop("_top"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reconcile(a: DataFrame, b: DataFrame, measures: dict[str, Column]) -> DataFrame:

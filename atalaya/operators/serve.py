@@ -67,11 +67,13 @@ def alerts(anomalies: DataFrame, severity: str = "", q: str = "", sort: str = "p
 
 def client_page(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """Page rows with from/to/total; a page past the end becomes the last page."""
-    total = df.count()
+    # Rows carry their position, so a deep page is a filter and not a long list for one task.
+    rows = global_rank(df, order, "_pos")
+    total = rows.count()
     pages = max(1, -(-total // size))
     page = max(1, min(page, pages))
     start = (page - 1) * size
-    return df.orderBy(*order).offset(start).limit(size).withColumns({
+    return rows.where(F.col("_pos").between(start + 1, start + size)).orderBy("_pos").drop("_pos").withColumns({
         "pagina": F.lit(page), "desde": F.lit(min(start + 1, total)),
         "hasta": F.lit(min(start + size, total)), "total": F.lit(total)})
 

@@ -111,11 +111,15 @@ def lineage(df: DataFrame, source_id: str, cap: int | None = None) -> DataFrame:
         "content_hash")
 
 
-def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """SHA-256 and size of raw files next to the published values (fichero, sha256, bytes)."""
+def verify_files(spark: SparkSession, path: str, expected: DataFrame, name: Column | None = None) -> DataFrame:
+    """SHA-256 and size of raw files next to the published values (fichero, sha256, bytes).
+
+    `name` is an expression over `path`; the last part of the path is the default. A file is one
+    row, so files of 2 GiB and more are beyond it.
+    """
+    name = F.regexp_extract("path", "[^/]+$", 0) if name is None else name
     files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("fichero"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"))
+        name.alias("fichero"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     other = expected.select("fichero", F.col("sha256").alias("sha256_publicado"),
                             F.col("bytes").alias("bytes_publicados"))
     return files.join(other, "fichero", "full_outer").withColumn(
