@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -208,16 +210,108 @@ def _(spark, sf):
     return out.select("cod_municipio", "categoria", "periodo", F.round("objetivo", 6).alias("objetivo"))
 
 
+# ---------------------------------------------------------------- a model with fixed coefficients, which SQL can repeat
+def fixed(newest: float = 0.6, season: float = 0.4):
+    """An estimator that learns nothing: a fixed mix of the newest value and the one a year before."""
+    return lambda: Pipeline(stages=[SQLTransformer(
+        statement=f"SELECT *, {newest}D * lag_1 + {season}D * lag_12 AS pred FROM __THIS__")])
+
+
+def every_series(spark, sf):
+    """All series of the panel, also those with few non-zero months."""
+    return FC.prepare_panel(B.panel(spark, sf), 0)
+
+
+def model_sql(bt: str = "bt", newest: float = 0.6, season: float = 0.4) -> str:
+    """Backtest rows with the recursive forecast of the fixed model and the served mix."""
+    return f"""
+    SELECT *, 0.7 * yhat_modelo + (1 - 0.7) * persistencia AS yhat FROM (
+      SELECT *, list_reduce([persistencia] || list(estacional) OVER (PARTITION BY origen, cod_municipio, categoria ORDER BY paso
+        ROWS UNBOUNDED PRECEDING), lambda a, x: greatest(0.0::DOUBLE, {newest}::DOUBLE * a + {season}::DOUBLE * x)) AS yhat_modelo FROM {bt})"""
+
+
+CTES["btm"] = model_sql()
+CTES["btm_season"] = model_sql("bt", 0.0, 1.0)
+CTES["btm_newest"] = model_sql("bt", 1.0, 0.0)
+for cte, other in (("origins", "origins12"), ("before", "before12"), ("bt", "bt12")):
+    CTES[other] = (CTES[cte].replace("greatest(1, n - 8) AND n - 6", "greatest(1, n - 13) AND n - 12").replace("FROM origins o", "FROM origins12 o")
+                   .replace("FROM before b", "FROM before12 b").replace("b.idx + 5", "b.idx + 11"))
+CTES["btm12"] = model_sql("bt12")
+CTES["btm_band"] = """
+    WITH p AS (SELECT avg((y - yhat) ** 2 / greatest(yhat, 1.0)) AS phi FROM btm WHERE paso = 1)
+    SELECT any_value(phi) AS phi, quantile_cont(abs(y - yhat) / greatest(sqrt(phi * greatest(yhat, 1.0)) * sqrt(paso), 1e-9), 0.8) AS escala_z
+    FROM btm, p"""
+
+
+@query("train_forecaster", sql(f"""
+    SELECT m.*, round(phi, 4) AS dispersion, round(escala_z, 4) AS escala_banda FROM (SELECT {METRICS_SQL} FROM btm) m, btm_band"""))
+def _(spark, sf):
+    """Backtest metrics of the model, its dispersion and band scale."""
+    return trained(FC.train(B.panel(spark, sf), min_nonzero=0, make_estimator=fixed()))
+
+
+@query("forecast_recursive", sql("""
+    WITH ser AS (SELECT cod_municipio, categoria, list(CAST(cantidad AS DOUBLE) ORDER BY periodo) AS v, max(periodo) AS ultimo FROM panel GROUP BY ALL),
+    st AS (SELECT *, len(v) AS n, unnest(range(1, 7)) AS k FROM ser),
+    m AS (SELECT *, list_reduce([v[n]] || list_transform(range(1, k + 1), lambda j: CASE WHEN n - 12 + j >= 1 THEN v[n - 12 + j] ELSE 0.0 END),
+      lambda a, x: greatest(0.0::DOUBLE, 0.6::DOUBLE * a + 0.4::DOUBLE * x)) AS modelo FROM st),
+    f AS (SELECT *, 0.7 * modelo + (1 - 0.7) * v[n] AS u FROM m),
+    h AS (SELECT f.*, escala_z * sqrt(phi * greatest(u, 1.0)) * sqrt(k) AS ancho FROM f, btm_band)
+    SELECT cod_municipio, categoria, CAST(k AS INTEGER) AS paso, CAST(ultimo + to_months(CAST(k AS INTEGER)) AS DATE) AS periodo, round(u, 2) AS prediccion,
+      round(greatest(0.0, u - ancho), 2) AS limite_inferior, round(u + ancho, 2) AS limite_superior FROM h"""))
+def _(spark, sf):
+    return FC.forecast(FC.train(B.panel(spark, sf), min_nonzero=0, make_estimator=fixed()))
+
+
+@query("walk_forward", sql("""
+    SELECT origen, paso, cod_municipio, categoria, periodo, y, round(yhat, 4) AS yhat, persistencia, estacional, round(escala, 4) AS escala,
+      round(volumen, 4) AS volumen FROM btm"""))
+def _(spark, sf):
+    return rounded_bt(FC.walk_forward(B.panel(spark, sf), make_estimator=fixed(), prepared=every_series(spark, sf)))
+
+
+@query("backtest_long", sql(LIGHT_SQL.replace("btd", "btm12")))
+def _(spark, sf):
+    rows = FC.walk_forward(B.panel(spark, sf), 12, 2, fixed(), prepared=every_series(spark, sf))
+    return MON.backtest_light(cut_lineage(rows))
+
+
+def errors_sql(bt: str) -> str:
+    return f"SELECT round(avg(abs(y - yhat)) FILTER (paso = 1), 4) AS uno, round(avg(abs(y - yhat)), 4) AS multi FROM {bt}"
+
+
+@query("champion_challenger", sql(f"""
+    SELECT a.uno AS champion_mae_1paso, a.multi AS champion_mae_multipaso, b.uno AS challenger_mae_1paso, b.multi AS challenger_mae_multipaso,
+      round((a.multi - b.multi) / greatest(a.multi, 1e-9), 4) AS margen, CASE WHEN (a.multi - b.multi) / greatest(a.multi, 1e-9) > 0.01 THEN 'challenger'
+        WHEN (a.multi - b.multi) / greatest(a.multi, 1e-9) < -0.01 THEN 'champion' ELSE 'empate' END AS veredicto
+    FROM ({errors_sql('btm')}) a, ({errors_sql('btm_season')}) b"""))
+def _(spark, sf):
+    return FC.champion_challenger(B.panel(spark, sf), fixed(), fixed(0.0, 1.0), min_nonzero=0)
+
+
+@query("hpo_temporal", sql("\nUNION ALL\n".join(
+    f"SELECT '{name}' AS candidato, round(avg(abs(y - yhat)), 4) AS mae_multipaso FROM {bt}"
+    for name, bt in (("mezcla", "btm"), ("estacional", "btm_season"), ("ultimo", "btm_newest")))))
+def _(spark, sf):
+    grid = {"mezcla": fixed(), "estacional": fixed(0.0, 1.0), "ultimo": fixed(1.0, 0.0)}
+    return FC.hpo_temporal(B.panel(spark, sf), grid, min_nonzero=0)
+
+
 # ---------------------------------------------------------------- learned models (no SQL equivalent)
-def trees():
-    """A small forest of boosted trees: the operators take any estimator."""
-    return FC.default_estimator(iterations=6, depth=4, rate=0.3)
+def trees(depth: int = 5):
+    """Boosted trees of twenty rounds; the operators take any estimator."""
+    return FC.default_estimator(iterations=20, depth=depth, rate=0.2)
 
 
 def linear():
     return LinearRegression(featuresCol="features", labelCol="objetivo", predictionCol="pred", regParam=0.1, solver="normal")
 
 
+def trained(fitted):
+    return M.metrics(fitted.backtest).withColumns({
+        "dispersion": F.lit(round(fitted.dispersion, 4)), "escala_banda": F.lit(round(fitted.band_scale, 4))})
+
+
 def rounded_bt(df):
     return df.select("origen", "paso", "cod_municipio", "categoria", "periodo", "y", F.round("yhat", 4).alias("yhat"),
                      "persistencia", "estacional", F.round("escala", 4).alias("escala"), F.round("volumen", 4).alias("volumen"))
@@ -236,46 +330,41 @@ def _(spark, sf):
     return anomaly.detect(B.panel(spark, sf), B.RESPONSE, threshold=B.ALERT_Z)
 
 
-@query("train_forecaster")
+@query("train_forecaster_trees")
 def _(spark, sf):
-    """Backtest metrics of the trained model, its dispersion and band scale."""
-    fitted = FC.train(B.panel_pop(spark, sf), 3, 2, make_estimator=trees)
-    return M.metrics(fitted.backtest).withColumns({
-        "dispersion": F.lit(round(fitted.dispersion, 4)), "escala_banda": F.lit(round(fitted.band_scale, 4))})
+    return trained(FC.train(B.panel_pop(spark, sf), make_estimator=trees))
 
 
-@query("forecast_recursive")
+@query("forecast_recursive_trees")
 def _(spark, sf):
-    return FC.forecast(FC.train(B.panel_pop(spark, sf), 3, 1, make_estimator=trees), 6)
+    return FC.forecast(FC.train(B.panel_pop(spark, sf), make_estimator=trees))
 
 
-@query("walk_forward")
+@query("walk_forward_trees")
 def _(spark, sf):
-    return rounded_bt(FC.walk_forward(B.panel_pop(spark, sf), 3, 2, trees))
+    return rounded_bt(FC.walk_forward(B.panel_pop(spark, sf), make_estimator=trees))
 
 
-@query("backtest_long")
+@query("backtest_long_trees")
 def _(spark, sf):
-    return MON.backtest_light(cut_lineage(FC.walk_forward(B.panel(spark, sf), 12, 2, linear)))
+    return MON.backtest_light(cut_lineage(FC.walk_forward(B.panel(spark, sf), 12, 2, trees)))
 
 
-@query("champion_challenger")
+@query("champion_challenger_trees")
 def _(spark, sf):
-    return FC.champion_challenger(B.panel(spark, sf), trees, linear, 3, 2)
+    return FC.champion_challenger(B.panel(spark, sf), trees, linear)
 
 
-@query("hpo_temporal")
+@query("hpo_temporal_trees")
 def _(spark, sf):
-    grid = {"profundidad_3": lambda: FC.default_estimator(4, 3, 0.3), "lineal": linear}
-    return FC.hpo_temporal(B.panel(spark, sf), grid, 2, 1)
+    return FC.hpo_temporal(B.panel(spark, sf), {"profundidad_3": lambda: trees(3), "profundidad_5": trees, "lineal": linear})
 
 
 @query("permutation_importance")
 def _(spark, sf):
-    return FC.permutation_importance(FC.train(B.panel_pop(spark, sf), 2, 1, make_estimator=trees))
+    return FC.permutation_importance(FC.train(B.panel_pop(spark, sf), make_estimator=trees))
 
 
 @query("population_shock")
 def _(spark, sf):
-    fitted = FC.train(B.panel_pop(spark, sf), 2, 1, make_estimator=trees)
-    return FC.shocked_forecast(fitted, "11000", 10.0, 3)
+    return FC.shocked_forecast(FC.train(B.panel_pop(spark, sf), make_estimator=trees), "11000", 10.0)

@@ -6,18 +6,19 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from atalaya.constants import BAND_LEVEL, BLEND, HIST_WINDOW, LAGS, ROLL_WINDOWS, SERIES_KEY
 from atalaya.functions import period_str, to_count, to_rate
 from atalaya.operators.features import active_series, calendar_columns, feature_names, make_features
 from atalaya.plans import metrics as m
 from atalaya.plans.backtest import baseline_backtest, find_origins
-from atalaya.session import cut_lineage
+from atalaya.session import cut_lineage, path_exists
 
 Factory = Callable[[], Estimator]
 
@@ -290,18 +291,18 @@ def permutation_importance(fitted: Forecaster, sample: int | None = None, repeat
 
 
 def champion_challenger(panel: DataFrame, champion: Factory, challenger: Factory,
-                        horizon: int = 6, n_splits: int = 3) -> DataFrame:
+                        horizon: int = 6, n_splits: int = 3, min_nonzero: int = 12) -> DataFrame:
     """Two estimators under the same backtest, with a verdict."""
-    prepared = prepare_panel(panel)
+    prepared = prepare_panel(panel, min_nonzero)
     a = cut_lineage(walk_forward(panel, horizon, n_splits, champion, prepared=prepared))
     b = cut_lineage(walk_forward(panel, horizon, n_splits, challenger, prepared=prepared))
     return m.compare_scores(a, b)
 
 
 def hpo_temporal(panel: DataFrame, grid: dict[str, Factory], horizon: int = 6,
-                 n_splits: int = 3) -> DataFrame:
+                 n_splits: int = 3, min_nonzero: int = 12) -> DataFrame:
     """Candidates scored by multi-step error under temporal validation, best first."""
-    prepared = prepare_panel(panel)
+    prepared = prepare_panel(panel, min_nonzero)
     out = None
     for name, factory in grid.items():
         bt = cut_lineage(walk_forward(panel, horizon, n_splits, factory, prepared=prepared))
@@ -321,6 +322,17 @@ def save(fitted: Forecaster, path: str) -> None:
                                 "band_scale double").write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def load(spark: SparkSession, path: str) -> Forecaster:
+    """A forecaster as `save` stored it; its rows are prepared again from a panel when it is used."""
+    row = spark.read.parquet(f"{path}/meta").first()
+    return Forecaster(PipelineModel.load(f"{path}/model") if _is_pipeline(spark, path) else GBTRegressionModel.load(f"{path}/model"),
+                      row["mode"], row["features"].split(","), row["first_year"], row["dispersion"], row["band_scale"])
+
+
+def _is_pipeline(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path}/model/stages")
+
+
 def forecast_text_rows(forecasts: DataFrame) -> DataFrame:
     """One row per series with its projection written out in step order."""
     piece = F.format_string("%s: %.2f (rango %.2f–%.2f)", period_str(F.col("periodo")), "prediccion",
