@@ -325,7 +325,14 @@ def _(spark, sf):
     return out.select("cod_municipio", "categoria", "periodo", F.round("aislamiento", 6).alias("aislamiento"), "aislado")
 
 
-@query("detect_anomalies")
+@query("detect_anomalies", sql("""
+    SELECT cod_municipio, municipio, departamento, categoria, periodo, cantidad, score_z, severidad FROM alerts WHERE month(periodo) % 2 = 0"""))
+def _(spark, sf):
+    """Both signals, the second one given: even months."""
+    return anomaly.detect(B.panel(spark, sf), B.RESPONSE, threshold=B.ALERT_Z, isolated=F.month("periodo") % 2 == 0)
+
+
+@query("detect_anomalies_forest")
 def _(spark, sf):
     return anomaly.detect(B.panel(spark, sf), B.RESPONSE, threshold=B.ALERT_Z)
 

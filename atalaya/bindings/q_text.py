@@ -285,6 +285,8 @@ def quoted(text: str) -> str:
       UNION ALL SELECT 'justicia_delito_menor', 'justicia', '¿Qué tipo de delito tiene la menor tasa de judicialización?', NULL, NULL, titulo_delito, false
         FROM (SELECT * FROM titles WHERE procesos_etapa_conocida >= {MIN_TITLE} AND titulo_delito <> 'Sin información'
           ORDER BY tasa_judicializacion_pct, titulo_delito LIMIT 1)
+      UNION ALL SELECT 'fuzzy_typo', 'fuzzy', '¿Cuál es el total de hechos registrados en nasion_7?', [total_hechos, total_delitos], NULL, municipio, false
+        FROM (SELECT * FROM summary WHERE contains(municipio, 'NATION_7') ORDER BY total_delitos DESC, cod_municipio LIMIT 1)
       UNION ALL SELECT 'admin_demandas', 'administrativo', '¿Cuántas demandas se han notificado?', [(SELECT count(*) FROM part)], NULL, NULL, false
       UNION ALL SELECT a, 'fuera_alcance', b, NULL, NULL, NULL, true FROM (VALUES {', '.join(f"({quoted(i)}, {quoted(t)})" for i, t in OUT_OF_SCOPE)}) v(a, b))"""))
 def _(spark, sf):
@@ -292,7 +294,7 @@ def _(spark, sf):
     out = ANS.golden_questions(
         B.summary(spark, sf), serve.top_category_reference(B.cat_year(spark, sf)), serve.category_leader(B.totals(spark, sf)),
         funnel.funnel_class(cube), funnel.serving_labels(B.rates(spark, sf)), funnel.funnel_rate(cube, "title"),
-        MIN_TITLE, load(spark, sf, "part", ["p_partkey"]))
+        MIN_TITLE, load(spark, sf, "part", ["p_partkey"]), ("nasion_7", "NATION_7"))
     return out.withColumn("cifras", F.array_join("cifras", ","))
 
 

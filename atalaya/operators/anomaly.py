@@ -73,14 +73,19 @@ def z_alerts(panel: DataFrame, response: Iterable[str], history: int = MIN_HISTO
 
 def detect(panel: DataFrame, response: Iterable[str], history: int = MIN_HISTORY,
            contamination: float = CONTAMINATION, threshold: float = Z_THRESHOLD,
-           seed: int = 42) -> DataFrame:
-    """Alerts both signals agree on, newest first."""
+           seed: int = 42, isolated: Column | None = None) -> DataFrame:
+    """Alerts both signals agree on, newest first.
+
+    The second signal is the isolation forest, or an expression over the scored rows.
+    """
     rows = z_scores(panel, response, history)
     rows = rows.withColumn("_y", F.col("cantidad").cast("double"))
     rows = robust_z(rows, "_y", "z_nivel").drop("_y")
-    rows = isolation_score(rows, ["z_residuo", "z_nivel"], SERIES_KEY + ["periodo"],
-                           contamination, seed)
-    flagged = _alerts(rows, (F.abs("z_residuo") > threshold) & F.col("aislado"))
+    if isolated is None:
+        rows = isolation_score(rows, ["z_residuo", "z_nivel"], SERIES_KEY + ["periodo"],
+                               contamination, seed)
+        isolated = F.col("aislado")
+    flagged = _alerts(rows, (F.abs("z_residuo") > threshold) & isolated)
     return flagged.orderBy(F.desc("periodo"), "cod_municipio", "categoria")
 
 

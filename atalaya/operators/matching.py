@@ -26,25 +26,38 @@ def forecast_intent(col: Column) -> Column:
     return F.lower(ascii_fold(col)).rlike("|".join(FORECAST_STEMS))
 
 
+# Of names that match equally well the one with the smallest `orden` is taken, then the smallest code.
+ORDER = "orden"
+
+
+def _ordered(names: DataFrame) -> DataFrame:
+    """The name table with an order of preference; without one, codes decide."""
+    return names if ORDER in names.columns else names.withColumn(ORDER, F.lit(0))
+
+
 def _name_row() -> Column:
-    return F.struct(*NAME_COLUMNS)
+    return F.struct(*NAME_COLUMNS, ORDER)
+
+
+def _first(size: Column) -> Column:
+    return F.struct((-size).alias("s"), F.col(f"fila.{ORDER}"), F.col("fila.cod_municipio"))
 
 
 def _phrases(names: DataFrame) -> DataFrame:
     """One row per normalised full name, with its number of words."""
     tokens = words(F.col("municipio"))
-    rows = names.select(*NAME_COLUMNS, F.array_join(tokens, " ").alias("frase"),
+    rows = _ordered(names).select(*NAME_COLUMNS, ORDER, F.array_join(tokens, " ").alias("frase"),
                         F.size(tokens).alias("n"))
     return rows.where(F.length("frase") >= TOKEN_MIN_LEN).groupBy("frase", "n").agg(
-        F.min_by(_name_row(), "cod_municipio").alias("fila"))
+        F.min_by(_name_row(), F.struct(ORDER, "cod_municipio")).alias("fila"))
 
 
 def _tokens(names: DataFrame, min_len: int) -> DataFrame:
     """One row per name token: smallest and largest name that has it, and the row to return."""
-    rows = names.select(*NAME_COLUMNS, F.explode(F.array_distinct(words(F.col("municipio")))).alias("token"))
+    rows = _ordered(names).select(*NAME_COLUMNS, ORDER, F.explode(F.array_distinct(words(F.col("municipio")))).alias("token"))
     return rows.where(F.length("token") >= min_len).groupBy("token").agg(
         F.min("municipio").alias("n1"), F.max("municipio").alias("n2"),
-        F.min_by(_name_row(), "cod_municipio").alias("fila"))
+        F.min_by(_name_row(), F.struct(ORDER, "cod_municipio")).alias("fila"))
 
 
 def _query_tokens(queries: DataFrame, key: str, min_len: int) -> DataFrame:
@@ -64,8 +77,8 @@ def match_phrase(queries: DataFrame, names: DataFrame, key: str = "id") -> DataF
             lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))))
     exploded = tokenised.select(key, F.explode(F.array_distinct(grams)).alias("frase"))
     hits = exploded.join(phrases, "frase")
-    best = F.min_by("fila", F.struct((-F.length("frase")).alias("l"), F.col("fila.cod_municipio")))
-    return hits.groupBy(key).agg(best.alias("fila")).select(key, "fila.*")
+    best = F.min_by("fila", _first(F.length("frase")))
+    return hits.groupBy(key).agg(best.alias("fila")).select(key, *[f"fila.{c}" for c in NAME_COLUMNS])
 
 
 def token_candidates(queries: DataFrame, names: DataFrame, key: str = "id",
@@ -76,8 +89,8 @@ def token_candidates(queries: DataFrame, names: DataFrame, key: str = "id",
     return hits.groupBy(key).agg(
         F.min_by("n1", F.struct((-size).alias("l"), "n1")).alias("n1"),
         F.max_by("n2", F.struct(size.alias("l"), "n2")).alias("n2"),
-        F.min_by("fila", F.struct((-size).alias("l"), F.col("fila.cod_municipio"))).alias("fila"),
-    ).select(key, "fila.*", (F.col("n1") != F.col("n2")).alias("ambiguo"))
+        F.min_by("fila", _first(size)).alias("fila"),
+    ).select(key, *[f"fila.{c}" for c in NAME_COLUMNS], (F.col("n1") != F.col("n2")).alias("ambiguo"))
 
 
 def match_tokens(queries: DataFrame, names: DataFrame, key: str = "id",
@@ -147,7 +160,8 @@ def match_fuzzy(queries: DataFrame, names: DataFrame, key: str = "id", cutoff: f
                 margin: float = FUZZY_MARGIN, min_len: int = FUZZY_MIN_LEN,
                 kind: str = "gestalt") -> DataFrame:
     """Most similar name per question, or none when another name comes within the margin."""
-    asked = _query_tokens(queries, key, min_len).withColumnRenamed("token", "q_token")
+    # The questions' tokens feed the search for pairs and the join back: they are stored, not replayed.
+    asked = cut_lineage(_query_tokens(queries, key, min_len).withColumnRenamed("token", "q_token"))
     known = _tokens(names, min_len).withColumnRenamed("token", "n_token")
     pairs = similar_tokens(asked, known, cutoff, kind)
     scored = asked.join(pairs, "q_token").groupBy(key, "n_token").agg(F.max("ratio").alias("ratio"))
@@ -157,8 +171,8 @@ def match_fuzzy(queries: DataFrame, names: DataFrame, key: str = "id", cutoff: f
         (F.col("ratio") == F.col("_best")) | (F.col("_best") - F.col("ratio") < margin))
     found = near.join(known, "n_token").groupBy(key).agg(
         F.min("n1").alias("n1"), F.max("n2").alias("n2"), F.max("ratio").alias("ratio"),
-        F.min_by("fila", F.struct((-F.col("ratio")).alias("r"), F.col("fila.cod_municipio"))).alias("fila"))
-    return found.where("n1 = n2").select(key, "fila.*", "ratio")
+        F.min_by("fila", _first(F.col("ratio"))).alias("fila"))
+    return found.where("n1 = n2").select(key, *[f"fila.{c}" for c in NAME_COLUMNS], "ratio")
 
 
 def resolve(queries: DataFrame, names: DataFrame, panel: DataFrame | None = None,
@@ -167,7 +181,9 @@ def resolve(queries: DataFrame, names: DataFrame, panel: DataFrame | None = None
 
     An ambiguous token match ends the search without a result.
     """
-    # Each rung feeds both the result and the filter of the next one: it is stored, not replayed.
+    # Questions and names feed every rung, and a rung both the result and the filter of the next one.
+    queries = cut_lineage(queries.select(key, "texto"))
+    names = cut_lineage(_ordered(names).select(*NAME_COLUMNS, ORDER))
     phrase = cut_lineage(match_phrase(queries, names, key).withColumn("via", F.lit("frase")))
     rest = queries.join(phrase.select(key), key, "left_anti")
     tokens = cut_lineage(token_candidates(rest, names, key))
