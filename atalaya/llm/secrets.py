@@ -1,9 +1,9 @@
 """Secret scans: three fixed patterns, and strings that look random to character Markov models.
 
 Two first-order models are trained from samples that the corpus labels itself: the values that the
-patterns match are random strings, all other words are ordinary identifiers. A run of token characters
-outside the pattern matches is a secret if its log-likelihood ratio, in all and per character, passes
-a threshold and it mixes letters with digits.
+patterns match are random strings; all else but the candidates is ordinary. A candidate is a run of
+token characters outside the pattern matches that mixes letters with digits; it is a secret if its
+log-likelihood ratio, in all and per character, passes a threshold.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 LEAST_VALUE = 8
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIXED = re.compile("[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
 TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 OTHER = len(TOKEN_CHARS)  # the class of every other byte, which also stands before and after a string
 STATES = OTHER + 1
@@ -77,7 +78,7 @@ def collect_spans(rows: DataFrame) -> DataFrame:
             for value in batch.column("text"):
                 text = value.as_py()
                 spans = base_spans(text)
-                free = outside(spans, RUN.finditer(text))
+                free = [m for m in outside(spans, RUN.finditer(text)) if MIXED.search(m.group())]
                 # The value of an assignment is what stands behind its last separator or quote.
                 values = [re.split(r"[\"'\x20:=]+", text[s:e], maxsplit=1)[-1] if kind == 0 else text[s:e] for s, kind, e in spans]
                 for column, own in zip(out, ([x for span in spans for x in span], [m.start() for m in free], [m.group() for m in free], values)):
@@ -105,13 +106,18 @@ def count_steps(strings: DataFrame) -> np.ndarray:
 
 
 def ratios(ordinary: np.ndarray, random: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each step. Random strings start from one count of every step between token characters."""
-    even = np.zeros((STATES, STATES))
-    even[:OTHER, :OTHER] = 1
-    even[OTHER, :OTHER] = even[:OTHER, OTHER] = 1
-    counts = [ordinary.reshape(STATES, STATES) + 0.5, random.reshape(STATES, STATES) + even + 1e-3]
-    logs = [np.log(c / c.sum(axis=1, keepdims=True)) for c in counts]
-    return logs[1] - logs[0]
+    """Log-likelihood ratio of each step.
+
+    The labelled secrets may all share one alphabet, such as hex digits, and the next one another:
+    half of the random model's probability is spread evenly over all characters. Behind characters
+    that ordinary text rarely has, its model falls back on how frequent each character is.
+    """
+    def smoothed(counts: np.ndarray) -> np.ndarray:
+        counts = counts.reshape(STATES, STATES)
+        single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * STATES)
+        return (counts + 5 * single) / (counts.sum(axis=1, keepdims=True) + 5)
+
+    return np.log(0.5 * smoothed(random) + 0.5 / STATES) - np.log(smoothed(ordinary))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0, per_char: float = 0.6) -> DataFrame:
@@ -124,11 +130,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = stored(collect_spans(rows), "spans")
     random = count_steps(spans.select(F.explode("values").alias("text")))
-    table = ratios(np.maximum(count_steps(rows.select("text")) - random, 0), random)
+    open_ = count_steps(spans.select(F.explode("runs").alias("text")))
+    table = ratios(np.maximum(count_steps(rows.select("text")) - random - open_, 0), random)
 
     def is_secret(run: str) -> bool:
-        if run.isalpha() or run.isdigit() or not re.search("[A-Za-z]", run) or not re.search("[0-9]", run):
-            return False
         code = CLASS_OF[np.frombuffer((" " + run + " ").encode(), np.uint8)]
         ratio = table[code[:-1], code[1:]].sum()
         return bool(ratio >= least and ratio >= per_char * len(run))

@@ -28,7 +28,8 @@ def test_secrets(spark, odd_docs, no_docs):
     texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(300)]
     key = "wJalrXUtnFEMI7K7MDENG2bPxRfiCYEXAMPLEKEY9"
     texts += [f"some ordinary identifier_name_with_words and {key} in the text {i}" for i in range(3)]
-    texts += ["nothing_but_ordinary_identifiers_2 in the ordinary words of the text " * 40]
+    prose = "nothing but ordinary identifiers like split_words and parse_date stand in the words of this text "
+    texts += [prose * 40 + "with nothing_but_ordinary_identifiers_2 at its end"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in secrets.scan(docs).collect():
         text = texts[r.id]
