@@ -1,9 +1,9 @@
 """Text quality by positive-unlabelled learning.
 
-Trusted positives and unlabelled web texts are all it learns from. A first network tells positives
-from unlabelled texts; the share of positives among the latter follows from how its scores are
-distributed over all documents. A second network then minimises the non-negative unbiased risk: what
-the unlabelled texts cost as negatives, less what the positives among them would, never below zero.
+Trusted positives and unlabelled web texts are all it learns from. Two first networks, each fitted on
+one half of the ids, tell positives from unlabelled texts; the share of positives among the latter
+follows from how their scores of the other halves are distributed over all documents. A last network
+then minimises the non-negative unbiased risk: what the unlabelled texts cost as negatives, less what the positives among them would, never below zero.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ class Network:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.hidden(x)[1] @ self.parts[2] + self.parts[3][0]
 
-    def fit(self, positive: np.ndarray, other: np.ndarray, slope, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> "Network":
+    def fit(self, positive: np.ndarray, other: np.ndarray, slope, rounds: int = 400, rate: float = 0.02, decay: float = 1e-2) -> "Network":
         """Adam on the whole sample; `slope` turns the margins of both parts into derivatives of the risk."""
         x, n = np.concatenate([positive, other]), len(positive)
         mean, square = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts]
@@ -108,12 +108,12 @@ def class_prior(positive: np.ndarray, everything: np.ndarray, least: float = 0.3
     """Largest share of positives that the counts over score bins allow, from the best-scored bins down.
 
     Any region holds at least prior x (its share of positives), so the least ratio over regions with
-    at least `least` of the positives bounds the prior; half a standard deviation is added to both.
+    at least `least` of the positives bounds the prior; a quarter of a standard deviation allows for noise.
     """
     p, u = positive[::-1].cumsum() / max(1, positive.sum()), everything[::-1].cumsum() / max(1, everything.sum())
     n = max(1, positive.sum())
     wide = p >= least
-    ratio = (u + 0.5 * np.sqrt(u / max(1, everything.sum()))) / np.maximum(p - 0.5 * np.sqrt(p / n), 1e-9)
+    ratio = (u + 0.25 * np.sqrt(u / max(1, everything.sum()))) / np.maximum(p - 0.25 * np.sqrt(p / n), 1e-9)
     return float(np.clip(ratio[wide].min() if wide.any() else 0.5, 0.05, 0.98))
 
 
@@ -138,29 +138,40 @@ def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int
                .where((fold(F.col("id"), parts) != held) & (F.col("quality") == 1)).select("id").distinct())
     trusted = stored(drawn(trusted, "id", positives), "trusted")  # bounded by `positives`, so it may be broadcast
 
-    def matrix(frame: DataFrame) -> np.ndarray:
-        got = sorted((r["id"], r["x"]) for r in frame.collect())
-        return np.array([x for _, x in got], float).reshape(len(got), -1)
+    def matrix(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Features and halves of a sample of bounded size."""
+        got = sorted((r["id"], r["x"], r["half"]) for r in frame.collect())
+        return np.array([x for _, x, _ in got], float).reshape(len(got), len(features(""))), np.array([h for *_, h in got], int)
 
-    p = matrix(described.join(F.broadcast(trusted), "id").limit(2 * positives))
-    u = matrix(drawn(described.where("id is not null"), "id", unlabelled))
+    half = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2)).cast("int")
+    described = described.withColumn("half", half)
+    p, p_half = matrix(described.join(F.broadcast(trusted), "id").limit(2 * positives))
+    u, u_half = matrix(drawn(described.where("id is not null"), "id", unlabelled))
     if not len(p) or not len(u):
         return described.select("id", F.lit(0.5).alias("score"), F.lit(1).cast("int").alias("predicted"))
 
-    def scored(network: Network, frame: DataFrame) -> DataFrame:
+    def scored(networks: list[Network], frame: DataFrame) -> DataFrame:
+        """Each row by the network of its half."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-                score = sigmoid(network.margin(x)) if batch.num_rows else np.zeros(0)
+                score, own = np.zeros(batch.num_rows), batch.column("half").to_numpy()
+                for k, network in enumerate(networks):
+                    score[own == k] = sigmoid(network.margin(x[own == k])) if (own == k).any() else 0
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score)], ["id", "score"])
 
         return frame.mapInArrow(run, "id long, score double")
 
-    first = Network(u).fit(p, u, contrast, rounds=200)
-    spread = np.zeros(BINS)
+    # Scores of the rows that a network was fitted on would be too good: each half is scored by the other's.
+    parts = [(p[p_half != k], u[u_half != k]) for k in (0, 1)]
+    if not all(len(a) and len(b) for a, b in parts):
+        parts = [(p, u), (p, u)]
+    first = [Network(b).fit(a, b, contrast, rounds=200) for a, b in parts]
+    spread, own = np.zeros(BINS), np.zeros(BINS)
     bins = scored(first, described).groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
     for r in bins.agg(F.count(F.lit(1)).alias("n")).collect():
         spread[r["bin"]] = r["n"]
-    own = np.bincount(np.minimum((sigmoid(first.margin(p)) * BINS).astype(int), BINS - 1), minlength=BINS)
-    network = Network(u).fit(p, u, non_negative(class_prior(own, spread)))
-    return scored(network, described).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    for k, network in enumerate(first):
+        own += np.bincount(np.minimum((sigmoid(network.margin(p[p_half == k])) * BINS).astype(int), BINS - 1), minlength=BINS)
+    last = Network(u).fit(p, u, non_negative(class_prior(own, spread)))
+    return scored([last, last], described).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
