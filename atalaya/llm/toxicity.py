@@ -65,38 +65,52 @@ def votes_of(text: str, places: dict[str, dict[str, int]]) -> tuple[list[int], i
     return sorted(found), bits
 
 
+def voter_correlations(fires: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How much more two voters agree than the class they both see explains, from 0 to 1.
+
+    If nothing but the class tied voters together, their covariance would be a product of one number
+    for each. Three voters i, j, k give the square of i's number as c_ij c_ik / c_jk. Ties between
+    voters can only raise it, so a low quantile over all pairs is taken; what a covariance has beyond
+    the product of both numbers is correlation.
+    """
+    voters, n = fires.shape[1], max(count.sum(), 1.0)
+    off = fires - (count @ fires) / n
+    cov = (off * count[:, None]).T @ off / n
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    sure = np.abs(cov) > 3 * np.outer(scale, scale) / np.sqrt(n)
+    own = np.zeros(voters)
+    for i in range(voters):
+        squares = [cov[i, j] * cov[i, k] / cov[j, k] for j in range(voters) for k in range(j) if i not in (j, k) and sure[j, k]]
+        own[i] = np.sqrt(max(0.0, np.quantile(squares, 0.25, method="lower"))) if squares else 0.0
+    extra = np.abs(cov - np.outer(own, own)) / np.outer(scale, scale) * sure
+    np.fill_diagonal(extra, 0)
+    return np.minimum(extra, 1)
+
+
 def label_model(patterns: dict[int, int], voters: int = VOTERS, rounds: int = 60) -> tuple[dict[int, float], dict]:
     """Probability that a text with each vote pattern is toxic; what was learned about the voters.
 
-    Expectation-maximisation over two classes, first as if voters were independent. The correlations
-    left within the classes then set the weight of each voter's evidence, and it runs again.
+    Expectation-maximisation over two classes. A voter's evidence is divided by one plus its
+    correlations with the others, so voters that repeat each other count about once together.
     """
     keys = sorted(patterns)
-    fires = np.array([[p >> v & 1 for v in range(voters)] for p in keys], float).reshape(-1, voters)
+    if not keys:
+        return {}, {}
+    fires = np.array([[p >> v & 1 for v in range(voters)] for p in keys], float)
     count = np.array([patterns[p] for p in keys], float)
+    tied = voter_correlations(fires, count)
+    weight = 1 / (1 + tied.sum(axis=1))
     post = np.where(fires.sum(axis=1) > 0, 0.9, 0.01)
-    weight = np.ones(voters)
-    learned: dict = {}
-    for _ in range(2 if len(keys) else 0):
-        for _ in range(rounds):
-            mass = np.stack([count * (1 - post), count * post])
-            rate = (mass @ fires + np.array([[0.01], [0.5]])) / (mass.sum(axis=1, keepdims=True) + 1)
-            # A voter is never better than certain, and never fires more on clean texts than on toxic ones.
-            rate = np.clip(rate, 1e-6, 1 - 1e-6)
-            rate[0] = np.minimum(rate[0], rate[1])
-            prior = np.clip(mass[1].sum() / count.sum(), 1e-6, 0.5)
-            evidence = fires @ (weight * np.log(rate[1] / rate[0])) + (1 - fires) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
-            post = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)), -50, 50)))
-        apart = np.zeros((voters, voters))
-        for own, mean in zip(np.stack([count * (1 - post), count * post]), rate):
-            off = fires - mean
-            cov = (off * own[:, None]).T @ off / max(own.sum(), 1)
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            apart = np.maximum(apart, np.abs(cov) / np.outer(scale, scale) * (own.sum() > 20))
-        np.fill_diagonal(apart, 0)
-        weight = 1 / (1 + np.minimum(apart, 1).sum(axis=1))
-        learned = {"prior": prior, "fires": rate, "correlation": apart, "weight": weight}
-    return dict(zip(keys, post.tolist())), learned
+    for _ in range(rounds):
+        mass = np.stack([count * (1 - post), count * post])
+        rate = (mass @ fires + np.array([[0.01], [0.5]])) / (mass.sum(axis=1, keepdims=True) + 1)
+        # A voter is never better than certain, and never fires more on clean texts than on toxic ones.
+        rate = np.clip(rate, 1e-6, 1 - 1e-6)
+        rate[0] = np.minimum(rate[0], rate[1])
+        prior = np.clip(mass[1].sum() / count.sum(), 1e-6, 0.5)
+        evidence = fires @ (weight * np.log(rate[1] / rate[0])) + (1 - fires) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
+        post = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)), -50, 50)))
+    return dict(zip(keys, post.tolist())), {"prior": prior, "fires": rate, "correlation": tied, "weight": weight}
 
 
 def fit_linear(rows: list[tuple[list[int], float]], size: int, rounds: int = 200, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:

@@ -93,7 +93,11 @@ def test_label_model_finds_accuracies():
     post, learned = toxicity.label_model(patterns, 5)
     assert abs(learned["prior"] - 0.2) < 0.06
     assert learned["weight"][0] < learned["weight"][1] and learned["weight"][3] < learned["weight"][2]
-    assert np.mean((np.array([post[c] for c in codes]) > 0.5) == truth) > 0.95
+    # Close to the best that the three independent voters allow if everything about them is known.
+    odds = np.log(0.2 / 0.8) + sum(np.where(f, np.log(hit / miss), np.log((1 - hit) / (1 - miss)))
+                                   for f, (hit, miss) in zip(fires, ((0.8, 0.02), (0.7, 0.05), (0.6, 0.01))))
+    best = np.mean((odds > 0) == truth)
+    assert np.mean((np.array([post[c] for c in codes]) > 0.5) == truth) > best - 0.02
     assert toxicity.label_model({}, 5)[0] == {}
 
 
