@@ -24,8 +24,8 @@ from atalaya.llm.common import fold
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
-CACHE_WORDS = 300_000
-CHUNK_WORDS = 400_000
+CACHE_WORDS = 150_000
+CHUNK_WORDS = 120_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mixed = np.concatenate(hashed)[order]
     mixed = (mixed ^ (mixed >> np.uint32(16))) * np.uint32(0x45D9F3B)
     counts = np.bincount(owners, minlength=len(raw))
-    return ((mixed >> np.uint32(8)) % np.uint32(BUCKETS)).astype(np.int64), np.cumsum(counts) - counts
+    return ((mixed >> np.uint32(8)) % np.uint32(BUCKETS)).astype(np.int32), np.cumsum(counts) - counts
 
 
 def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -132,11 +132,10 @@ def fit(texts: list[tuple[str, str]], labels: list[str], chain_words: int = 120,
              "m": [crf.moves, np.zeros_like(crf.moves), np.zeros_like(crf.moves)]}
     for step in range(1, rounds + 1):
         pairs = np.zeros_like(crf.moves)
-        scores = np.add.reduceat(crf.weights[features], begin, axis=0)[ids]
+        scores = np.stack([np.add.reduceat(crf.weights[features, k], begin) for k in range(len(labels))], axis=1)[ids]
         error = wanted - forward_backward(scores, lengths, crf.moves, pairs)
         by_kind = np.stack([np.bincount(ids, error[:, k], len(kinds)) for k in range(len(labels))], axis=1)
-        spread = np.repeat(by_kind, size, axis=0)
-        push = np.stack([np.bincount(features, spread[:, k], BUCKETS) for k in range(len(labels))], axis=1) / len(gold)
+        push = np.stack([np.bincount(features, np.repeat(by_kind[:, k], size), BUCKETS) for k in range(len(labels))], axis=1) / len(gold)
         for name, grad in (("w", push - decay * crf.weights), ("m", (seen - pairs) / len(gold) - decay * crf.moves)):
             value, mean, square = state[name]
             mean += 0.1 * (grad - mean)
