@@ -10,6 +10,7 @@ from atalaya.constants import CHUNK_OVERLAP, CHUNK_SIZE
 from atalaya.functions import period_str
 from atalaya.operators import funnel
 from atalaya.operators.serve import category_ranking
+from atalaya.sources.catalog import ADMIN_RECIPES, AdminRecipe
 
 # White space as a Unicode-aware split sees it.
 WHITE_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
@@ -159,6 +160,17 @@ def cards_admin(df: DataFrame, name: str, date_col: str, dims: list[tuple[str, s
     return row.select(text.alias("content"), meta(tipo="administrativo", fuente=name).alias("metadata"))
 
 
+def cards_by_recipe(df: DataFrame, name: str, recipes: dict[str, AdminRecipe] = ADMIN_RECIPES) -> DataFrame:
+    """The card of a source by its recipe; a source without one, or without its columns, gets its size."""
+    recipe = recipes.get(name)
+    dims = [d for d in recipe.dims if d[0] in df.columns] if recipe else []
+    if dims and recipe.date in df.columns:
+        return cards_admin(df, name, recipe.date, dims, recipe.about)
+    size = df.agg(F.count(F.lit(1)).alias("n"))
+    text = F.format_string("Transparencia institucional — '%s': %d registros.", F.lit(name), "n")
+    return size.select(text.alias("content"), meta(tipo="administrativo", fuente=name).alias("metadata"))
+
+
 def cards_funnel(cube: DataFrame, reference: DataFrame, top: int = 200,
                  min_title: int = funnel.MIN_KNOWN_TITLE,
                  min_territory: int = funnel.MIN_KNOWN_TERRITORY, extremes: int = 15) -> DataFrame:

@@ -72,3 +72,22 @@ def catalog_frame(spark: SparkSession, catalog: list[SourceSpec]) -> DataFrame:
     return spark.createDataFrame(
         rows, "fuente string, familia string, formato_fecha string, categoria string, "
               "naturaleza string")
+
+
+@dataclass(frozen=True)
+class AdminRecipe:
+    """How a source without events is summed up: its date column and (column, label, how many values)."""
+
+    about: str
+    date: str
+    dims: tuple[tuple[str, str, int], ...]
+
+
+# Columns and labels of the breakdowns.
+ADMIN_RECIPES = {
+    "auditorias": AdminRecipe("Auditorías internas y de control de gestión; no es una serie de delitos.", "fecha_inicial", (
+        ("tipo", "origen", 5), ("tipo_auditoria", "modalidad", 6), ("unidad", "unidad auditada", 5))),
+    "demandas_notificadas": AdminRecipe("Litigios notificados contra la entidad; no es una serie de delitos.", "fecha_de_admisi_n", (
+        ("tipo_de_demanda", "tipo de demanda", 3), ("unidad_de_defensa_judical", "unidad de defensa judicial", 5),
+        ("despacho_judicial", "despacho judicial", 5))),
+}
