@@ -70,6 +70,14 @@ class Heaps:
         self.ids[row[best], place[best]] = ids[best]
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed from the first component to the last, so that a score has one value everywhere."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
 def tile(queries: Coded, rows: Coded, heaps: Heaps, start: int) -> None:
     """Meet `queries` (from position `start` of the heaps) with `rows`."""
     k, n = heaps.scores.shape[1], len(queries.ids)
@@ -86,7 +94,7 @@ def tile(queries: Coded, rows: Coded, heaps: Heaps, start: int) -> None:
     q, r = np.nonzero((near + bound >= floor[:, None]) & ~own)
     for at in range(0, len(q), 1 << 18):
         i, j = q[at:at + (1 << 18)], r[at:at + (1 << 18)]
-        heaps.merge(i + start, np.einsum("ij,ij->i", queries.exact[i], rows.exact[j]), rows.ids[j])
+        heaps.merge(i + start, inner_products(queries.exact[i], rows.exact[j]), rows.ids[j])
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -46,8 +46,8 @@ ORACLES["op5_block_matrix_ann"] = """
     WITH v AS (
       SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings
       WHERE vec_id IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
-        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     p AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.vec, c.vec) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 20 = 0)
