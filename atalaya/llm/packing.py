@@ -27,9 +27,11 @@ CACHE = 300_000
 RARE_SPACE = re.compile(r"[^\S \n]")
 
 
-def encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[str], bytes]:
     """Text to little-endian 32-bit ids of a byte-level BPE.
 
+    Wherever the text has one of the `added` tokens, its id stands; what is between is encoded for itself.
+
     Its pattern never joins what stands before a single space to what follows, so such a text is cut
     there and words seen before come from a bounded cache. Other texts are encoded whole.
     """
@@ -48,16 +50,26 @@ def encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
 
     words = Words()
 
-    def run(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if "  " in text or "\n \n" in text or text.endswith(" ") or RARE_SPACE.search(text):
             return whole(text)
         head, *rest = text.split(" ")
         return whole(head) + b"".join([words[word] for word in rest])
 
+    if not added:
+        return plain
+    # Longest first, so that none hides another that starts with it.
+    ids = {token: array("I", [number]).tobytes() for token, number in sorted(added.items(), key=lambda x: -len(x[0]))}
+    some = re.compile(f"({'|'.join(map(re.escape, ids))})")
+
+    def run(text: str) -> bytes:
+        parts = some.split(text)
+        return plain(text) if len(parts) == 1 else b"".join([ids[x] if k % 2 else plain(x) for k, x in enumerate(parts) if x])
+
     return run
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int,
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None, capacity: int, end_id: int,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`id`, `piece`, `start`, `length`, `ids_crc32`, `task`, `rank`): rank counts a task's pieces of one length."""
     schema = "id long, piece int, start long, length long, ids_crc32 long, task long, rank long"
@@ -65,7 +77,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, task = encoder(ranks_path, pattern), array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
+        encode, end, task = encoder(ranks_path, pattern, added), array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
@@ -192,12 +204,12 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None = None,
+                   capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences of at most `capacity` tokens.
 
     A null text is empty: one piece that holds only `end_id`. A document longer than the capacity is
     cut into full pieces after a first one that may be shorter. Rows that repeat are packed each for
     itself; a null id stays null. Other columns are left out. An empty table gives no rows.
     """
-    return pack(pieces(docs, ranks_path, pattern, capacity, end_id, id_col, text_col), capacity)
+    return pack(pieces(docs, ranks_path, pattern, added, capacity, end_id, id_col, text_col), capacity)

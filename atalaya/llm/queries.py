@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, secrets, sharding, simhash, toxicity
@@ -24,11 +26,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Ranks of the 50k byte-level BPE (the vocabulary of byte_bpe_50k.json) and its pattern."""
+def tokenizer_files() -> tuple[str, str, dict[str, int]]:
+    """Ranks of the 50k byte-level BPE (the vocabulary of byte_bpe_50k.json), its pattern and the json's added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
 @query

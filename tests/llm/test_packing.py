@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -33,6 +34,27 @@ def test_encoder_equals_tokenizer(text):
     assert np.frombuffer(ENCODE(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+END = "<|endoftext|>"
+
+
+@cache
+def unaltered():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("text", [END, END * 2, f"a {END} b", f"a{END}b c", f" {END} ", f"one two{END}\n\n{END} x  y", f"{END[:-1]} <{END}>", f"a <|ENDOFTEXT|> {END}s"])
+def test_added_tokens_equal_tokenizer(text):
+    assert np.frombuffer(ENCODE(text), "<u4").tolist() == unaltered().encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([END, "a", " ", "word", "<|", "|>", "\n", "é", "  b", "<"])).map("".join))
+def test_added_tokens_anywhere(text):
+    test_added_tokens_equal_tokenizer(text)
+
+
 def best_fit_decreasing(counts, cap):
     """The textbook packer: each piece, longest first, goes where it leaves least room."""
     room = Counter()
