@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from atalaya.llm.common import fold
+from atalaya.llm.common import fold, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -106,7 +106,7 @@ def fit(texts: list[tuple[str, str]], labels: list[str], chain_words: int = 120,
     parts = []
     for text, label in texts:
         words = WORD.findall(text.lower())
-        parts += [(words[k:k + span], labels.index(label)) for k in range(0, min(len(words), chain_words * pieces), span)]
+        parts += [(words[k:k + span], labels.index(label)) for k in range(0, len(words), span)]
     parts = [parts[k] for k in rng.permutation(len(parts))]
     words, gold, lengths = [], [], []
     for k in range(0, len(parts), pieces):
@@ -144,23 +144,49 @@ def fit(texts: list[tuple[str, str]], labels: list[str], chain_words: int = 120,
     return crf
 
 
+def passages(rows: DataFrame, size: int = 40) -> DataFrame:
+    """(`id`, `lang`, `place`, `words`): all passages of `size` words of each text, to its end; the last may be shorter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column("text")):  # a batch for each text, so that long ones do not add up
+                words = WORD.findall(text.as_py().lower())
+                own = [" ".join(words[k:k + size]) for k in range(0, len(words), size)]
+                same = np.full(len(own), row)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(same)), batch.column("lang").take(pa.array(same)),
+                                                  pa.array(np.arange(len(own))), pa.array(own, pa.string())], ["id", "lang", "place", "words"])
+
+    kinds = {field.name: field.dataType.simpleString() for field in rows.schema.fields}
+    return rows.select("id", "lang", "text").mapInArrow(run, f"id {kinds['id']}, lang string, place long, words string")
+
+
+def sampled(values: DataFrame, key: list[str], at_most: int) -> DataFrame:
+    """About `at_most` rows of each `lang`, drawn by a hash of `key`; all if there are no more."""
+    counts = {r["lang"]: r["n"] for r in values.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return values
+    chance = F.element_at(F.create_map(*[F.lit(x) for lang in sorted(counts) for x in (lang, min(1.0, at_most / counts[lang]))]), F.col("lang"))
+    return values.where(F.pmod(F.xxhash64(*key), F.lit(1_000_003)) < chance * 1_000_003)
+
+
 def train(docs: DataFrame, per_label: int = 300, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", parts: int = 3, held: int = 1) -> Crf:
-    """Fit on about `per_label` labelled texts of each language (at most twice as many), drawn by a hash of the id.
+          lang_col: str = "lang", parts: int = 3, held: int = 1, per_label_passages: int = 5000) -> Crf:
+    """Fit on about `per_label` labelled texts of each language, drawn by a hash of the id, from start to end.
 
-    Only rows outside the held-out fold and with an id, a text and a language count. No such row: no label.
+    The tasks cut the texts into passages of 40 words. All count if a language has at most
+    `per_label_passages`; of more, about that many (at most twice as many in all) are drawn by a hash of
+    id, place and words, with one chance for every place in a text. Only rows outside the held-out fold
+    and with an id, a text and a language count. No such row: no label.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where((fold(F.col("id"), parts) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    labels = sorted(counts)
+    labels = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not labels:
         return Crf([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
-    chance = F.element_at(F.create_map(*[F.lit(x) for lang in labels for x in (lang, min(1.0, per_label / counts[lang]))]), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < chance * 1_000_003).limit(2 * per_label * len(labels))
+    cut = stored(passages(sampled(known, ["id"], per_label)), "passages")
+    drawn = sampled(cut, ["id", "place", "words"], per_label_passages).limit(2 * per_label_passages * len(labels))
     # A sample of bounded size; sorted, so the fit does not depend on the order of arrival.
-    rows = sorted((r["id"], r["lang"], r["text"]) for r in drawn.select("id", "lang", "text").toLocalIterator())
-    return fit([(text, lang) for _, lang, text in rows], labels)
+    rows = sorted((r["id"], r["lang"], r["place"], r["words"]) for r in drawn.toLocalIterator())
+    return fit([(words, lang) for _, lang, _, words in rows], labels)
 
 
 def tag(docs: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:

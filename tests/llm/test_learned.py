@@ -58,6 +58,22 @@ def test_code_switching():
     assert shares[:12, 0].min() > 0.9 and shares[12:, 1].min() > 0.9 and np.allclose(shares.sum(axis=1), 1)
 
 
+def test_training_reads_texts_to_their_end(spark):
+    """Each language shows its own words only behind an opening of 400 words that both share."""
+    rng = np.random.default_rng(9)
+    say = lambda part, n: " ".join("".join(rng.choice(list(part), 5)) for _ in range(n))
+    opening = say("mnop", 400)
+    docs = spark.createDataFrame([(i, f"{opening} {say('abcd' if i % 2 else 'wxyz', 400)}", "xy"[i % 2]) for i in range(60)],
+                                 "doc_id long, text string, lang string")
+    for bound in (5000, 200):
+        crf = langid.train(docs, per_label_passages=bound)
+        for part, lang in (("abcd", 1), ("wxyz", 0)):
+            words = say(part, 20).split()
+            assert (langid.word_scores(words, crf.weights).argmax(axis=1) == lang).mean() > 0.9
+    places = [r.place for r in langid.passages(docs.withColumnRenamed("doc_id", "id")).collect()]
+    assert sorted(places) == sorted(60 * list(range(20)))
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
