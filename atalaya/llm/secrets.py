@@ -25,7 +25,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 LEAST_VALUE = 8
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile("[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 OTHER = len(TOKEN_CHARS)  # the class of every other byte, which also stands before and after a string
 STATES = OTHER + 1
@@ -78,7 +78,7 @@ def collect_spans(rows: DataFrame) -> DataFrame:
             for value in batch.column("text"):
                 text = value.as_py()
                 spans = base_spans(text)
-                free = [m for m in outside(spans, RUN.finditer(text)) if MIXED.search(m.group())]
+                free = [m for m in outside(spans, RUN.finditer(text)) if LETTER.search(m.group()) and DIGIT.search(m.group())]
                 # The value of an assignment is what stands behind its last separator or quote.
                 values = [re.split(r"[\"'\x20:=]+", text[s:e], maxsplit=1)[-1] if kind == 0 else text[s:e] for s, kind, e in spans]
                 for column, own in zip(out, ([x for span in spans for x in span], [m.start() for m in free], [m.group() for m in free], values)):

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,6 +46,14 @@ def test_secrets(spark, odd_docs, no_docs):
     assert all(r.base == "" for r in secrets.scan(odd_docs).where("id is null").collect())
 
 
+def test_secrets_in_long_words(spark):
+    """A word of 300,000 letters: its scan takes time in proportion to its length."""
+    docs = spark.createDataFrame([(1, "word " + "abcdefghij" * 30_000)], "doc_id long, text string")
+    start = time.monotonic()
+    assert [r.id for r in secrets.scan(docs).collect()] == [1]
+    assert time.monotonic() - start < 60
+
+
 @pytest.mark.parametrize("dim,block,lanes", [(8, 7, 3), (1100, 100, 2)])
 def test_neighbours(spark, dim, block, lanes, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE_ROWS", 64)
