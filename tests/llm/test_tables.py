@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import string
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -46,6 +47,34 @@ def test_secrets(spark, odd_docs, no_docs):
     assert all(r.base == "" for r in secrets.scan(odd_docs).where("id is null").collect())
 
 
+def test_every_run_is_judged(spark):
+    """Random keys of letters only, behind names and paths, and in base64; ordinary identifiers with digits stay."""
+    rnd = random.Random(4)
+    draw = lambda part, n: "".join(rnd.choices(part, k=n))
+    letters, base62 = string.ascii_letters, string.ascii_letters + string.digits
+    plain = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect() if r.text]
+    words = [w for text in plain for w in text.split() if re.fullmatch("[a-z]+", w)]
+    pick = lambda: rnd.choice(words)
+    names = [f"{pick()}_{pick()}{rnd.randint(1, 9)}" for _ in range(10)] + [f"{pick()}{rnd.randint(10, 99)}_{pick()}_2024" for _ in range(10)]
+    prose = "the ordinary words of this text name the function {} and the table {} in their usual way "
+    usual = ["".join(prose.format(rnd.choice(names), rnd.choice(names)) for _ in range(30)) for _ in range(60)]
+    texts = plain + usual + [f"the token: {draw(base62, 32)} stands here" for _ in range(40)]
+    n = len(texts)
+    keys = [draw(letters, 24) for _ in range(20)] + [draw(base62, 24) for _ in range(20)]
+    forms = ["the word {} here", "a.b/usual/path/of/words/{} ends", "the_usual_name_of_words={} ends", "été {}"]
+    texts += [forms[k % 4].format(key) for k, key in enumerate(keys)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: [texts[r.id][int(s):int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "markov"]
+             for r in secrets.scan(docs).collect()}
+    assert not any(found[i] for i in range(len(plain), n))
+    assert [found[n + k] for k in range(len(keys))] == [[key] for key in keys]
+
+
+def test_maximal_stretches():
+    assert secrets.maximal([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 0), (2, 2), (4, 10)]
+    assert secrets.maximal([]) == [] and secrets.maximal([-1, 0]) == []
+
+
 def test_secrets_in_long_words(spark):
     """A word of 300,000 letters: its scan takes time in proportion to its length."""
     docs = spark.createDataFrame([(1, "word " + "abcdefghij" * 30_000)], "doc_id long, text string")
