@@ -40,3 +40,18 @@ def drawn(rows: DataFrame, id_col: str, at_most: int) -> DataFrame:
     """About `at_most` rows drawn by a hash of the id, and never more than twice as many."""
     share = min(1.0, at_most / max(1, rows.count()))
     return rows.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_003)) < share * 1_000_003).limit(2 * at_most)
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], n: str, least: int = 10_000) -> DataFrame:
+    """`left` with its row of `right` (one per key; column `n`: rows of `left` that have the key), inner.
+
+    Keys of more than a thousandth of the rows are at most a thousand: they are broadcast and their
+    rows stay where they are. The other keys shuffle. Both tables should be stored.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(least, total // 1000)
+    many = right.where(hot)
+    if not many.limit(1).count():
+        return left.join(right, on)
+    few = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(right.where(~hot), on)
+    return few.unionByName(left.join(F.broadcast(many), on))

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, secrets, sharding, simhash, toxicity
+from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, secrets, sharding, simhash, suffixes, toxicity
 from atalaya.llm.common import fold, table
 
 QUERIES = {}
@@ -175,3 +175,11 @@ ORACLES["op10_source_mixing"] = f"""
     SELECT doc_id, mix_domain, mix_lang, mix_source, unnest(range(taken)) AS mix_epoch, mix_tokens::BIGINT AS mix_tokens
     FROM t
 """
+
+
+@query
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
