@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, quality, secrets, sharding, simhash, suffixes, toxicity
+from atalaya.llm import exact_dedup as dedup, langid, mixing, neighbours, packing, phrases, quality, secrets, sharding, simhash, suffixes, toxicity
 from atalaya.llm.common import fold, table
 
 QUERIES = {}
@@ -183,3 +183,41 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_collocations"] = f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    f AS (
+      SELECT lang, m, phrase, count(*) AS a
+      FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+            FROM words CROSS JOIN range(1, 5) AS s(m) WHERE len(w) >= m)
+      GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (
+      SELECT c.lang, c.m, c.phrase, c.a, k, string_split(c.phrase, ' ') AS w,
+             array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+      FROM f c CROSS JOIN range(1, 4) AS s(k) WHERE k < c.m),
+    scored AS (
+      SELECT cuts.lang, cuts.m, cuts.phrase, cuts.a, h.a AS l, t.a AS r,
+             (2000000::HUGEINT * cuts.a // (h.a + t.a))::BIGINT AS score
+      FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+      QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1),
+    inside AS (
+      SELECT lang, array_to_string(w[i:i + m2 - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 2)
+           CROSS JOIN range(2, 4) AS s(m2) CROSS JOIN range(1, 4) AS u(i)
+      WHERE m2 < m AND i + m2 - 1 <= m GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM scored LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+    WHERE longer IS NULL OR 100 * longer < 80 * a
+    QUALIFY rank <= 2000
+"""
