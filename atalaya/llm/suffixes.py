@@ -10,9 +10,10 @@ each byte. It is the smallest hash of the grams (a third of `least` bytes) that
 `least` bytes from the suffix on: equal windows have the same smallest gram at the same place. Suffixes
 with the same gram at the same place of the text make one stretch, and only stretches move:
 
-1. every stretch gives (gram, hash of the stretch). Grams that occur once are done; so are grams whose
-   stretches are all equal, where every window repeats;
-2. the other grams ship their distinct stretches, about a twentieth of all. In each group the bytes right
+1. every stretch gives (gram, hash of the stretch). Grams that occur once are done. Of the other grams,
+   stretches that occur twice or more repeat as a whole; what is left are stretches of one place whose
+   gram also occurs in other ones;
+2. those grams ship their distinct stretches, about a twentieth of all. In each group the bytes right
    of the gram and those left of it are sorted by digits of eight bytes, which orders the windows at
    every offset at once: two windows are equal if neither order parts them within their depth;
 3. a gram with more than `limit` distinct stretches is ordered by Spark: its windows are grouped by 128
@@ -103,16 +104,23 @@ def digest(raw: bytes) -> int:
 
 def anchors(texts: DataFrame, least: int) -> DataFrame:
     """(`gram`, `cid`, `h1`, `h2`) for every stretch of the texts (`h1`, `h2`, `raw`); `cid` is a hash of the stretch."""
+    names = ["gram", "cid", "h1", "h2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
             for h1, h2, raw in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), batch.column("raw")):
                 raw = raw.as_py()
                 for grams, _, start, stop in stretches(raw, least):
-                    cids = [digest(raw[s:e + least - 1]) for s, e in zip(start.tolist(), stop.tolist())]
-                    n = len(cids)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams), pa.array(cids, pa.int64()), pa.array(np.full(n, h1)), pa.array(np.full(n, h2))],
-                        ["gram", "cid", "h1", "h2"])
+                    n = len(grams)
+                    cids = np.fromiter((digest(raw[s:e + least - 1]) for s, e in zip(start.tolist(), stop.tolist())), np.int64, n)
+                    held.append((grams, cids, np.full(n, h1), np.full(n, h2)))
+                    count += n
+                    if count >= 4 * ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+                        held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
     return texts.where(F.octet_length("raw") >= least).mapInArrow(run, "gram long, cid long, h1 long, h2 long")
 
@@ -133,25 +141,32 @@ def unpack(value) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value.as_py())
 
 
+PARTS = "gram long, cid long, hi int, bytes binary, n long, h1 long, h2 long"
+
+
 def shipped(texts: DataFrame, least: int) -> DataFrame:
-    """(`gram`, `cid`, `hi`, `bytes`, `n`) for the stretches of the grams `mixed` of (packed `raw`, `mixed`, `n`).
+    """`PARTS` for the stretches that `wanted` (`gram`, `cid`, `n`) names, of (packed `raw`, `wanted`, `h1`, `h2`).
 
     `hi` is the place of the gram in the stretch.
     """
-    schema = pa.schema([("gram", pa.int64()), ("cid", pa.int64()), ("hi", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("cid", pa.int64()), ("hi", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64()),
+                        ("h1", pa.int64()), ("h2", pa.int64())])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for packed_raw, mixed, n in zip(batch.column("raw"), batch.column("mixed"), batch.column("n").to_pylist()):
-                raw, mixed = unpack(packed_raw), mixed.values.to_numpy()
+            for packed_raw, wanted, h1, h2 in zip(*(batch.column(c) for c in ("raw", "wanted", "h1", "h2"))):
+                raw, h1, h2 = unpack(packed_raw), h1.as_py(), h2.as_py()
+                times = {(x["gram"], x["cid"]): x["n"] for x in wanted.as_py()}
+                own = np.array([gram for gram, _ in times])
                 for grams, at, start, stop in stretches(raw, least):
-                    some = np.isin(grams, mixed)
+                    some = np.isin(grams, own)
                     for gram, a, s, e in zip(*(x[some].tolist() for x in (grams, at, start, stop))):
                         part = raw[s:e + least - 1]
-                        yield gram, digest(part), a - s, part, n
+                        cid = digest(part)
+                        if (gram, cid) in times:
+                            yield gram, cid, a - s, part, times[gram, cid], h1, h2
 
-    return (texts.select("raw", "mixed", "n")
-            .mapInArrow(lambda batches: batches_of(found(batches), schema), "gram long, cid long, hi int, bytes binary, n long"))
+    return texts.select("raw", "wanted", "h1", "h2").mapInArrow(lambda batches: batches_of(found(batches), schema), PARTS)
 
 
 def radix_order(groups: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,19 +238,20 @@ RUNS = "array<struct<low: int, high: int>>"
 
 
 def compared(parts: DataFrame, least: int, rows_at_once: int = 20_000) -> DataFrame:
-    """(`gram`, `cid`, `runs`) of the distinct stretches (`gram`, `cid`, `hi`, `bytes`, `n`), whole grams in one task."""
-    dealt = parts.select("gram", "cid", "hi", "bytes", "n").repartition("gram").sortWithinPartitions("gram")
+    """(`gram`, `cid`, `h1`, `h2`, `runs`) of the stretches of one place among distinct `PARTS`, whole grams in one task."""
+    dealt = parts.repartition("gram").sortWithinPartitions("gram")
     runs_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         if table.num_rows:
-            gram = table.column("gram").to_numpy()
-            runs = repeated(gram, table.column("hi").to_numpy().astype(np.int64), table.column("bytes").to_pylist(),
-                            table.column("n").to_numpy(), least)
-            runs = [[{"low": a, "high": b} for a, b in own] for own in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), table.column("cid").combine_chunks(), pa.array(runs, runs_type)],
-                                             ["gram", "cid", "runs"])
+            gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+            runs = repeated(gram, table.column("hi").to_numpy().astype(np.int64), table.column("bytes").to_pylist(), n, least)
+            once = np.flatnonzero(n == 1)
+            runs = [[{"low": a, "high": b} for a, b in runs[k]] for k in once.tolist()]
+            own = table.select(["gram", "cid", "h1", "h2"]).take(pa.array(once)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(own.column(c).combine_chunks() for c in own.column_names), pa.array(runs, runs_type)],
+                                             ["gram", "cid", "h1", "h2", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -246,22 +262,16 @@ def compared(parts: DataFrame, least: int, rows_at_once: int = 20_000) -> DataFr
             count += batch.num_rows
             if count < rows_at_once:
                 continue
-            gram = batch.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram == gram[-1], True))  # the last gram may go on in the next batch
+            whole = pa.Table.from_batches(held).combine_chunks()
+            gram = whole.column("gram").to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on in the next batch
             if cut:
-                yield from answer([*held[:-1], batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-                count = held[0].num_rows
-            elif held[0].column("gram")[0].as_py() != gram[-1]:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                cut = int(np.searchsorted(whole.column("gram").to_numpy() == gram[-1], True))
                 yield from answer(whole.slice(0, cut).to_batches())
-                held = whole.slice(cut).to_batches()
-                count = whole.num_rows - cut
+                held, count = whole.slice(cut).to_batches(), whole.num_rows - cut
         if held:
             yield from answer(held)
 
-    return dealt.mapInArrow(run, f"gram long, cid long, runs {RUNS}").where(F.size("runs") > 0)
+    return dealt.mapInArrow(run, f"gram long, cid long, h1 long, h2 long, runs {RUNS}")
 
 
 def spread_out(parts: DataFrame, least: int) -> DataFrame:
@@ -271,22 +281,28 @@ def spread_out(parts: DataFrame, least: int) -> DataFrame:
     window = F.expr(f"substring(bytes, k + 1, {least})")
     windows = stored(windows.select("gram", "cid", (F.col("hi") - F.col("k")).alias("low"), "n", F.xxhash64(window).alias("w1"),
                                     F.xxhash64(F.lit(1), window).alias("w2")), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("times")).where("times > 1")
-    hits = meet(windows.select("gram", "cid", "low", "w1", "w2"), stored(again.select("w1", "w2", "rows"), "again"), ["w1", "w2"], "rows")
-    return hits.groupBy("gram", "cid").agg(F.array_sort(F.collect_set(F.struct("low", F.col("low").alias("high")))).alias("runs"))
+    again = windows.groupBy("w1", "w2").agg(F.count_if(F.col("n") == 1).alias("rows"), F.sum("n").alias("times")).where("times > 1")
+    once = windows.where("n = 1").select("gram", "cid", "low", "w1", "w2")
+    hits = meet(once, stored(again.select("w1", "w2", "rows"), "again"), ["w1", "w2"], "rows")
+    hits = hits.groupBy("gram", "cid").agg(F.array_sort(F.collect_set(F.struct("low", F.col("low").alias("high")))).alias("runs"))
+    return (parts.where("n = 1").select("gram", "cid", "h1", "h2").join(hits, ["gram", "cid"], "left")
+            .withColumn("runs", F.coalesce("runs", F.array().cast(RUNS))))
 
 
-def removed(raw: bytes, least: int, same: np.ndarray, mixed: dict[tuple[int, int], list[dict]]) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes that a repeated window covers."""
+def removed(raw: bytes, least: int, grams_again: np.ndarray, once: dict[tuple[int, int], list[dict]]) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes that a repeated window covers.
+
+    The stretches of `grams_again` repeat, but those of one place (`once`) only at the offsets named there.
+    """
     found: list[tuple[int, int]] = []
     for grams, at, start, stop in stretches(raw, least):
-        some = np.flatnonzero(np.isin(grams, same))
-        found += zip(start[some].tolist(), (stop[some] - 1 + least).tolist())
-        if mixed:
-            some = np.flatnonzero(np.isin(grams, np.array([g for g, _ in mixed])))
-            for gram, a, s, e in zip(*(x[some].tolist() for x in (grams, at, start, stop))):
-                for run in mixed.get((gram, digest(raw[s:e + least - 1])), ()):
-                    found.append((a - run["high"], a - run["low"] + least))
+        some = np.isin(grams, grams_again)
+        if not once:
+            found += zip(start[some].tolist(), (stop[some] - 1 + least).tolist())
+            continue
+        for gram, a, s, e in zip(*(x[some].tolist() for x in (grams, at, start, stop))):
+            runs = once.get((gram, digest(raw[s:e + least - 1])))
+            found += [(s, e - 1 + least)] if runs is None else [(a - run["high"], a - run["low"] + least) for run in runs]
     found.sort()
     spans: list[tuple[int, int]] = []
     for start, stop in found:
@@ -297,6 +313,29 @@ def removed(raw: bytes, least: int, same: np.ndarray, mixed: dict[tuple[int, int
     return spans
 
 
+def cut_out(todo: DataFrame, least: int, id_type: str) -> DataFrame:
+    """(`id`, `n_bytes`, `spans`, `kept`) of (`id`, packed `raw`, `again`, `once`)."""
+    schema = pa.schema([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch, rows = whole.slice(at, 512), []
+                for packed_raw, again, once in zip(*(batch.column(c) for c in ("raw", "again", "once"))):
+                    text, gone = unpack(packed_raw), []
+                    if again.is_valid:
+                        gone = removed(text, least, again.values.to_numpy(), {(x["gram"], x["cid"]): x["runs"] for x in once.as_py() or ()})
+                    ends = [0, *(x for span in gone for x in span), len(text)]
+                    rows.append((len(text), [{"start": a, "stop": b} for a, b in gone], b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types))],
+                                                 ["id", *schema.names])
+
+    return todo.mapInArrow(run, f"id {id_type}, n_bytes long, spans {SPANS}, kept binary")
+
+
+SPANS = "array<struct<start: bigint, stop: bigint>>"
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
                  limit: int = 32_768) -> DataFrame:
     """One row per row of `docs`: `id`, `n_bytes`, `spans` (start, stop) of the bytes removed, `kept` (what is left, binary).
@@ -305,64 +344,41 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     overlaps count, and all is judged on the input. Texts are their UTF-8 bytes, null texts empty; a text
     shorter than `least` keeps all. Repeated rows are copies of one another, whatever their ids, null ids
     included. Very long texts are read in pieces of `PIECE` windows. Further columns of `docs` are not read.
-    Texts and stretches count as equal if 128 bits of their hashes are.
+    Texts and stretches count as equal if 128 bits of their hashes are. An empty table gives no rows.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw"))
     rows = rows.select("id", F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(1), "raw").alias("h2"), "raw")
 
-    # Texts of which the table is full: at most a thousand. Their windows all repeat, and one copy stands for all.
+    # Texts of which the table is full: at most a thousand. All their windows repeat, and one copy stands for all.
     copies = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     bound = max(1000, rows.count() // 1000)
-    hot = stored(copies.where(F.col("n") > bound), "hot-texts")
+    hot = stored(copies.where(F.col("n") > bound).select("h1", "h2"), "hot-texts")
     cold = rows.join(F.broadcast(hot), ["h1", "h2"], "left_anti")
     copied = rows.join(F.broadcast(hot), ["h1", "h2"])
 
     found = stored(anchors(rows.select("h1", "h2", "raw"), least), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("cid") != F.max("cid")).alias("mixed")).where("n > 1")
-    marked = meet(found, stored(grams, "grams"), ["gram"], "n").select("gram", "cid", "h1", "h2", "mixed")
-    marked = stored(marked, "marked")
-    mixed = marked.where("mixed").groupBy("h1", "h2").agg(F.collect_set("gram").alias("mixed"))
-
-    one = copied.where(F.octet_length("raw") >= least).groupBy("h1", "h2").agg(F.first("raw").alias("raw"), F.first("n").alias("n"))
-    texts = cold.select("h1", "h2", "raw", F.lit(1).cast("long").alias("n")).unionByName(one.select("h1", "h2", "raw", "n"))
-    texts = packed(texts.where(F.octet_length("raw") >= least))
-    parts = shipped(texts.join(mixed, ["h1", "h2"]), least)
-    parts = stored(parts.groupBy("gram", "cid", "hi", "bytes").agg(F.sum("n").alias("n")), "stretches")
+    again = stored(meet(found, stored(grams, "grams"), ["gram"], "n").select("gram", "cid", "h1", "h2", "mixed"), "again")
+
+    # Each distinct stretch of a mixed gram is shipped from one text.
+    wanted = (again.where("mixed").groupBy("gram", "cid").agg(F.count(F.lit(1)).alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+              .groupBy("h1", "h2").agg(F.collect_list(F.struct("gram", "cid", "n")).alias("wanted")))
+    one = copied.groupBy("h1", "h2").agg(F.first("raw").alias("raw"))
+    texts = packed(cold.select("h1", "h2", "raw").unionByName(one).where(F.octet_length("raw") >= least))
+    parts = stored(shipped(texts.join(stored(wanted, "wanted"), ["h1", "h2"]), least).distinct(), "stretches")
     many = stored(parts.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > limit).select("gram"), "many")
-    runs = compared(parts.join(many, "gram", "left_anti"), least)
+    once = compared(parts.join(many, "gram", "left_anti"), least)
     if many.limit(1).count():
-        runs = runs.unionByName(spread_out(parts.join(many, "gram"), least))
-    times = parts.groupBy("gram", "cid").agg(F.sum("n").alias("n"))
-    runs = stored(runs.join(times, ["gram", "cid"]), "runs")
-    hits = meet(marked.where("mixed").select("gram", "cid", "h1", "h2"), runs, ["gram", "cid"], "n")
-    hits = hits.groupBy("h1", "h2").agg(F.collect_set(F.struct("gram", "cid", "runs")).alias("hits"))
-    same = marked.where("not mixed").groupBy("h1", "h2").agg(F.collect_set("gram").alias("same"))
-
-    todo = packed(cold).join(same, ["h1", "h2"], "left").join(hits, ["h1", "h2"], "left").select("id", "raw", "same", "hits")
-    id_type = dict(rows.dtypes)["id"]
+        once = once.unionByName(spread_out(parts.join(many, "gram"), least))
+    once = once.groupBy("h1", "h2").agg(F.collect_list(F.struct("gram", "cid", "runs")).alias("once"))
+    again = again.groupBy("h1", "h2").agg(F.collect_set("gram").alias("again"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
-            sizes, spans, kept = [], [], []
-            for packed_raw, own, own_hits in zip(batch.column("raw"), batch.column("same").to_pylist(), batch.column("hits").to_pylist()):
-                text = unpack(packed_raw)
-                gone = []
-                if own or own_hits:
-                    gone = removed(text, least, np.array(own or [], np.int64), {(x["gram"], x["cid"]): x["runs"] for x in own_hits or []})
-                sizes.append(len(text))
-                spans.append([{"start": a, "stop": b} for a, b in gone])
-                ends = [0, *(x for span in gone for x in span), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())],
-                                             ["id", "n_bytes", "spans", "kept"])
-
-    spans = "array<struct<start: bigint, stop: bigint>>"
-    rest = todo.mapInArrow(run, f"id {id_type}, n_bytes long, spans {spans}, kept binary")
+    todo = packed(cold).join(again, ["h1", "h2"], "left").join(once, ["h1", "h2"], "left").select("id", "raw", "again", "once")
+    rest = cut_out(todo, least, dict(rows.dtypes)["id"])
     size = F.octet_length("raw").cast("long")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop")))
     all_gone = size >= least
-    full = copied.select("id", size.alias("n_bytes"), F.when(all_gone, whole).otherwise(F.array().cast(spans)).alias("spans"),
+    full = copied.select("id", size.alias("n_bytes"), F.when(all_gone, whole).otherwise(F.array().cast(SPANS)).alias("spans"),
                          F.when(all_gone, F.lit("").cast("binary")).otherwise(F.col("raw")).alias("kept"))
     return rest.unionByName(full)
