@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from atalaya.session import prepare, release, scratch_path  # noqa: F401
+from atalaya.session import file_system, prepare, release, scratch_path  # noqa: F401
+
+_TEMPORARY: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,14 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are deleted at its end, but those stored with `keep`."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            found, files = file_system(spark, path)
+            files.delete(found, True)
+
+
+def stored(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back.
 
     Later steps then read the files, so losing an executor replays none of the work before them.
-    `release` deletes them when all results have been consumed.
+    `release` deletes them when all results have been consumed; see `temporary` too.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{tag}")
+    if _TEMPORARY and not keep:
+        _TEMPORARY[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,3 +76,19 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], n: str, least: int =
         return left.join(right, on)
     few = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(right.where(~hot), on)
     return few.unionByName(left.join(F.broadcast(many), on))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """`rows` with its column `raw` compressed, for exchanges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = batch.schema.names.index("raw")
+            small = pa.array([press.compress(raw.as_py()) for raw in batch.column(at)], pa.binary())
+            yield batch.set_column(at, "raw", small)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def unpack(value: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_py())

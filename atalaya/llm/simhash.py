@@ -158,16 +158,3 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of `docs` that stand for their component: those whose id is the component's.
-
-    Rows that share the id count as one document. Columns are those of `docs`, in their order.
-    """
-    classes = near_classes(docs, id_col, text_col, width)
-    gone = stored(classes.where(~F.col("component_id").eqNullSafe(F.col("id"))).select("id", "h").distinct(), "gone")
-    keyed_docs = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"),
-                             F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_h"))
-    same = F.col("row_h").eqNullSafe(F.col("h")) & F.col("row_id").eqNullSafe(F.col("id"))
-    return keyed_docs.join(gone, same, "left_anti").select("row.*")

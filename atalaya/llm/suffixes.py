@@ -27,10 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from atalaya.llm.common import meet, stored
+from atalaya.llm.common import meet, packed, stored, unpack
 
 LEAST = 200
 PIECE = 1 << 20  # suffixes looked at together
@@ -125,22 +124,6 @@ def anchors(texts: DataFrame, least: int) -> DataFrame:
     return texts.where(F.octet_length("raw") >= least).mapInArrow(run, "gram long, cid long, h1 long, h2 long")
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """`rows` with its column `raw` compressed, for exchanges."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            at = batch.schema.names.index("raw")
-            small = pa.array([press.compress(raw.as_py()) for raw in batch.column(at)], pa.binary())
-            yield batch.set_column(at, "raw", small)
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def unpack(value) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(value.as_py())
-
-
 PARTS = "gram long, cid long, hi int, bytes binary, n long, h1 long, h2 long"
 
 

@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from atalaya.llm import common, queries
-from test_near import roots, slow_print
+from test_jaccard import slow_set
+from test_near import roots
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -27,9 +28,9 @@ def test_stages_equal_brute_force(spark):
     for i, t in sorted(kept.items()):
         last[(t or "").translate(FOLD)] = i
     assert {r.doc_id for r in found["exact dedup"]} == set(last.values())
-    prints = {i: slow_print(kept[i]) for i in last.values()}
-    near = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3]
-    assert {r.doc_id for r in found["near dedup"]} == set(roots(near, prints).values())
+    sets = {i: slow_set(kept[i]) for i in last.values()}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert {r.doc_id for r in found["near dedup"]} == set(roots(near, sets).values())
     mixed = [r.doc_id for r in found["source mixing"]]
     assert len(set(mixed)) == len(mixed) and set(mixed) < {r.doc_id for r in found["near dedup"]}
     assert {r.doc_id for r in found["packing"]} == set(mixed)
