@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from atalaya.llm.common import stored
+from atalaya.llm.common import stored, temporary, unpack
 from atalaya.operators.serve import global_rank
 
 #: Upper case becomes lower case, so that A is free to stand for the ends of pieces; a tab is a space.
@@ -28,9 +30,13 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcd
 STOP = b"A"
 SIDE = 10  # bits of a tile's side
 DENSE = 1 << (2 * SIDE - 4)  # pairs that make a tile of a task dense
-CHUNK = 1 << 22  # bytes of a text taken at once; pairs counted at once
+CHUNK = 1 << 19  # bytes of a text taken at once; pairs counted at once
 UNKNOWN = -1
-MERGED = 1 << 22  # counts that a task holds
+MERGED = 1 << 20  # counts of cells that a task holds
+HELD = 100_000  # counts of words or spelled phrases that a task holds
+SENT = 1 << 15  # rows sent at once
+CELLS = 1 << 21  # words of the table for each part of the cells
+ROWS_READ = 512  # texts read at once
 
 
 def tokens(raw: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
@@ -44,6 +50,18 @@ def tokens(raw: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
         start = stop
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts reach the tasks of jobs run inside the block in small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS_READ))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells (left << 32 | right) and how often each occurs."""
     tile = (left >> SIDE) << 32 | (right >> SIDE)
@@ -84,16 +102,26 @@ class Squares:
             self.counts.append(counts)
         self.left, self.right, self.waiting = [], [], 0
 
+    def _merge(self) -> None:
+        if len(self.cells) > 1:
+            cells, counts = np.concatenate(self.cells), np.concatenate(self.counts)
+            order = np.argsort(cells)
+            cells = cells[order]
+            first = np.flatnonzero(np.diff(cells, prepend=-1))
+            self.cells, self.counts = [cells[first]], [np.add.reduceat(counts[order], first)]
+
     def full(self) -> bool:
-        return sum(map(len, self.cells)) >= MERGED
+        if sum(map(len, self.cells)) < MERGED:
+            return False
+        self._merge()
+        return len(self.cells[0]) >= MERGED // 2
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         self._count()
-        cells = np.concatenate(self.cells) if self.cells else np.zeros(0, np.int64)
-        counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
-        found, place = np.unique(cells, return_inverse=True)
+        self._merge()
+        found = (self.cells[0], self.counts[0]) if self.cells else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.cells, self.counts = [], []
-        return found, np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
+        return found
 
 
 class Numbers:
@@ -133,56 +161,89 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 for part in tokens(raw.as_py()):
                     own.update(part)
                 del own[STOP], own[b""]
-            if sum(map(len, held.values())) > 200_000:
-                yield from answer()
-                held = {}
+                if sum(map(len, held.values())) > HELD:
+                    yield from answer()
+                    held = {}
         yield from answer()
 
     return texts.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def cell_counts(texts: DataFrame, numbers, width: int, beyond: bool) -> tuple[DataFrame, DataFrame]:
-    """Counts of the phrases of `width` words whose two shorter phrases are numbered, as (`left`, `right`, `a`), and,
-    if some frequent parts are not numbered (`beyond`), of all other phrases as (`lang`, `phrase`, `a`)."""
-    names = ["left", "right", "lang", "phrase", "a"]
+def cell_counts(texts: DataFrame, numbers, width: int, beyond: bool, least: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """The phrases of `width` words whose two shorter phrases are numbered, as (`left`, `right`, `a`), and, if some
+    frequent parts are not numbered (`beyond`), all other phrases as (`lang`, `phrase`, `a`); both with a >= `least`.
 
+    A task sends its cells as sorted runs, one for each of `parts` parts of all cells, and a part is merged in one place.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, squares, spelled = numbers.value, Squares(), Counter()
 
         def answer() -> Iterator[pa.RecordBatch]:
             cells, counts = squares.take()
-            n = len(cells)
-            yield pa.RecordBatch.from_arrays([pa.array(cells >> 32), pa.array(cells & 0xFFFFFFFF), pa.nulls(n, pa.string()),
-                                              pa.nulls(n, pa.string()), pa.array(counts)], names)
+            press = zstandard.ZstdCompressor(level=1)
+            part = ((cells.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+            for at in range(0, len(cut), SENT):
+                few = cut[at:at + SENT + 1]
+                own = [order[x:y] for x, y in zip(few, np.append(few[1:], len(order)))][:SENT]
+                runs = [press.compress(np.diff(cells[x], prepend=0).tobytes() + counts[x].tobytes()) for x in own]
+                n = len(runs)
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][cut[at:at + SENT]]), pa.array(runs, pa.binary()), pa.nulls(n, pa.string()),
+                                                  pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
             if spelled:
                 n = len(spelled)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in spelled], pa.string()),
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([k for k, _ in spelled], pa.string()),
                                                   pa.array([p for _, p in spelled], pa.binary()).cast(pa.string()),
                                                   pa.array(list(spelled.values()), pa.int64())], names)
                 spelled.clear()
 
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("raw")):
-                for part in tokens(raw.as_py()):
-                    part = [word for word in part if word]
-                    if len(part) < width:
+                for own in tokens(raw.as_py()):
+                    own = [word for word in own if word]
+                    if len(own) < width:
                         continue
-                    words = known.of(lang, part)
+                    words = known.of(lang, own)
                     phrase = known.widened(words)
                     left, right = phrase[:-1], words[width - 1:]
                     good = (left >= 0) & (phrase[1:] >= 0)
                     squares.add(left[good], right[good])
                     if beyond:
-                        ends = np.cumsum([0] + [word == STOP for word in part])
+                        ends = np.cumsum([0] + [word == STOP for word in own])
                         other = np.flatnonzero(~good & (ends[width:] == ends[:-width]))
-                        spelled.update((lang, b" ".join(part[k:k + width])) for k in other.tolist())
-            if squares.full() or len(spelled) > 200_000:
-                yield from answer()
+                        spelled.update((lang, b" ".join(own[k:k + width])) for k in other.tolist())
+                if squares.full() or len(spelled) > HELD:
+                    yield from answer()
+        yield from answer()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, squares = None, Squares()
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            cells, counts = squares.take()
+            cells, counts = cells[counts >= least], counts[counts >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(cells >> 32), pa.array(cells & 0xFFFFFFFF), pa.array(counts)], ["left", "right", "a"])
+
+        for batch in batches:
+            for part, sent in zip(batch.column("part").to_pylist(), batch.column("run")):
+                if part != current:
+                    yield from answer()
+                    current = part
+                both = np.frombuffer(unpack(sent), np.int64).reshape(2, -1)
+                squares.cells.append(np.cumsum(both[0]))
+                squares.counts.append(both[1])
+                squares.full()  # merges what has come when it is much
         yield from answer()
 
-    counts = stored(texts.mapInArrow(run, "left long, right long, lang string, phrase string, a long"), "cells")
-    return (counts.where("left is not null").groupBy("left", "right").agg(F.sum("a").alias("a")),
-            counts.where("left is null").groupBy("lang", "phrase").agg(F.sum("a").alias("a")))
+    names = ["part", "run", "lang", "phrase", "a"]
+    sent = texts.mapInArrow(run, "part long, run binary, lang string, phrase string, a long")
+    sent = stored(sent, "runs") if beyond else sent
+    runs = sent.where("part is not null").select("part", "run").repartition("part").sortWithinPartitions("part")
+    coded = stored(runs.mapInArrow(merge, "left long, right long, a long"), "cells")
+    if not beyond:
+        return coded, None
+    return coded, stored(sent.where("part is null").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "spelled", keep=True)
 
 
 def numbered(frequent: DataFrame) -> DataFrame:
@@ -193,9 +254,11 @@ def numbered(frequent: DataFrame) -> DataFrame:
 def frequent_phrases(texts: DataFrame, least: int, widest: int, words: int, phrases: int) -> tuple[DataFrame, DataFrame]:
     """(`lang`, `phrase`, `width`, `a`) of the phrases of (`lang`, `raw`) with a >= `least`, and (`lang`, `n`), the words of each language."""
     spark = texts.sparkSession
-    counts = stored(word_counts(texts), "words")
-    totals = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-    base = stored(numbered(counts.where(F.col("a") >= least)), "word-numbers")
+    with temporary(spark), small_batches(spark):
+        counts = stored(word_counts(texts), "words")
+        totals = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals", keep=True)
+        base = stored(numbered(counts.where(F.col("a") >= least)), "word-numbers", keep=True)
+    parts = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // CELLS
     own: dict[str, dict[bytes, int]] = {}
     few = base.where(F.col("id") < words).select("lang", "phrase", "id").toArrow()
     for lang, word, number in zip(*(few.column(c).to_pylist() for c in few.column_names)):
@@ -206,16 +269,16 @@ def frequent_phrases(texts: DataFrame, least: int, widest: int, words: int, phra
     last = base
     for width in range(2, widest + 1):
         shared = spark.sparkContext.broadcast(known)
-        coded, spelled = cell_counts(texts, shared, width, beyond)
-        coded = (coded.where(F.col("a") >= least)
-                 .join(last.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head")), "left")
-                 .join(base.select(F.col("id").alias("right"), F.col("phrase").alias("tail")), "right")
-                 .select("left", "right", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "a"))
-        coded = stored(numbered(coded), f"phrases-{width}")
+        with temporary(spark), small_batches(spark):
+            coded, spelled = cell_counts(texts, shared, width, beyond, least, parts)
+            coded = (coded.join(last.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head")), "left")
+                     .join(base.select(F.col("id").alias("right"), F.col("phrase").alias("tail")), "right")
+                     .select("left", "right", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "a"))
+            coded = stored(numbered(coded), f"phrases-{width}", keep=True)
         shared.unpersist()
         levels.append(coded.select("lang", "phrase", F.lit(width).alias("width"), "a"))
         if beyond:
-            levels.append(stored(spelled.where(F.col("a") >= least).select("lang", "phrase", F.lit(width).alias("width"), "a"), "spelled"))
+            levels.append(spelled.select("lang", "phrase", F.lit(width).alias("width"), "a"))
         if width < widest:
             few = coded.where(F.col("id") < phrases).select((F.shiftleft("left", 32) + F.col("right")).alias("cell"), "id").toArrow()
             cells, ids = (few.column(c).to_numpy() for c in ("cell", "id"))

@@ -77,6 +77,8 @@ def test_squares_in_parts(spark, monkeypatch):
     """Tiny buffers: counts are merged and flushed many times, long texts are read in parts."""
     monkeypatch.setattr(phrases, "CHUNK", 64)
     monkeypatch.setattr(phrases, "MERGED", 100)
+    monkeypatch.setattr(phrases, "CELLS", 500)
+    monkeypatch.setattr(phrases, "SENT", 3)
     monkeypatch.setattr(phrases.tokens, "__defaults__", (50,))
     rows = corpus(5, 300)
     rows.append(("en", " ".join(text or "" for _, text in rows)))
