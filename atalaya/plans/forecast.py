@@ -11,19 +11,20 @@ from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from atalaya.constants import BAND_LEVEL, BLEND, HIST_WINDOW, LAGS, ROLL_WINDOWS, SERIES_KEY
 from atalaya.functions import period_str, to_count, to_rate
 from atalaya.operators.features import active_series, calendar_columns, feature_names, make_features
+from atalaya.operators.serve import global_rank
 from atalaya.plans import metrics as m
 from atalaya.plans.backtest import baseline_backtest, find_origins
 from atalaya.session import cut_lineage, path_exists
 
 Factory = Callable[[], Estimator]
 
-# Rows that one task permutes among themselves.
-PERMUTED_ROWS = 200_000
+# Rounds of the shuffle of row numbers.
+SHUFFLE_ROUNDS = 16
 
 
 def default_estimator(iterations: int = 400, depth: int = 8, rate: float = 0.05,
@@ -251,29 +252,42 @@ def shocked_forecast(fitted: Forecaster, code: str, pct: float, horizon: int = 6
     return forecast(fitted, horizon, prepared=Prepared(rows, base.mode, base.features, base.first_year))
 
 
+def shuffled_place(place: Column, n: int, *keys: Column, rounds: int = SHUFFLE_ROUNDS) -> Column:
+    """Where a row number from 0 to `n` - 1 goes in the permutation named by `keys`: a bijection for every `n`.
+
+    In each round a number x and its mirror image k - x (modulo n) change places or stay, by a hash of the
+    greater of the two, so nothing is ordered and rows need not meet.
+    """
+    size = F.lit(max(1, n)).cast("long")
+
+    def step(x: Column, number: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(number, *keys), size) - x, size)
+        swaps = F.xxhash64(F.greatest(x, mirror), number, *keys).bitwiseAND(F.lit(1)) == 1
+        return F.when(swaps, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), place.cast("long"), step)
+
+
 def permutation_importance(fitted: Forecaster, sample: int | None = None, repeats: int = 5,
                            seed: int = 42) -> DataFrame:
     """Rise in absolute error when one input is shuffled, over all complete rows or a sample of them.
 
     All (input, repeat) pairs are scored in one pass: each row is repeated per pair and takes the
-    input of another row, the one behind it in an order of its own for each pair.
+    input of the row that a permutation of all rows, one for each pair, puts in its place.
     """
     prepared = fitted.prepared
     names = prepared.features
     complete = prepared.rows.where(F.col(f"lag_{max(LAGS)}").isNotNull())
     if sample is not None:
         complete = complete.orderBy(F.xxhash64(*SERIES_KEY, "periodo", F.lit(seed)), *SERIES_KEY, "periodo").limit(sample)
-    base = cut_lineage(complete.select(
+    base = complete.select(
         *SERIES_KEY, "periodo", F.col("objetivo").alias("y"),
-        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("x")))
-    # Each pair permutes within random blocks of rows, so no task orders the whole table.
-    blocks = base.count() // PERMUTED_ROWS + 1
-    place = F.xxhash64(*SERIES_KEY, "periodo", "g", F.lit(seed))
+        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("x"))
+    base = cut_lineage(global_rank(base, [*SERIES_KEY, "periodo"], "place").select((F.col("place") - 1).alias("place"), "y", "x"))
     dealt = base.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(len(names) * repeats - 1)))).withColumns({
-        "f": F.floor(F.col("g") / repeats).cast("int"), "place": place}).withColumns({
-        "block": F.pmod(F.xxhash64("place"), F.lit(blocks)), "own": F.get("x", F.col("f"))})
-    order = Window.partitionBy("g", "block").orderBy("place", *SERIES_KEY, "periodo")
-    dealt = dealt.withColumn("other", F.coalesce(F.lead("own").over(order), F.first("own").over(order)))
+        "f": F.floor(F.col("g") / repeats).cast("int"),
+        "to": shuffled_place(F.col("place"), base.count(), F.col("g"), F.lit(seed))}).drop("place")
+    dealt = dealt.join(base.select(F.col("place").alias("to"), F.col("x").alias("taken")), "to").withColumn("other", F.get("taken", F.col("f")))
     mixed = dealt.select(
         "g", "f", "y", F.transform("x", lambda v, i: F.when(i == F.col("f"), F.col("other")).otherwise(v)).alias("x"))
     plain = base.select(F.lit(-1).alias("g"), F.lit(-1).alias("f"), "y", "x")

@@ -265,3 +265,16 @@ def test_worst_light(spark):
 
     rows = {r.senal: r.estado for r in MON.health_report({"a": s("verde"), "b": s("amarillo")}).collect()}
     assert rows["global"] == "amarillo"
+
+
+def test_shuffled_places_are_a_permutation(spark):
+    """For every size, each permutation its own, and the same however rows are dealt."""
+    for n in (1, 2, 3, 7, 64, 1001):
+        rows = spark.range(n, numPartitions=3).select("id", FC.shuffled_place(F.col("id"), n, F.lit(1), F.lit(42)).alias("a"),
+                                                      FC.shuffled_place(F.col("id"), n, F.lit(2), F.lit(42)).alias("b"))
+        got = rows.orderBy("id").collect()
+        assert sorted(r.a for r in got) == sorted(r.b for r in got) == list(range(n))
+        assert got == rows.repartition(5).orderBy("id").collect()
+    assert sum(r.a == r.b for r in got) < 20 and sum(r.a == r.id for r in got) < 20
+    near = sum(abs(x.a - y.a) == 1 for x, y in zip(got, got[1:]))
+    assert near < 30  # neighbours part
