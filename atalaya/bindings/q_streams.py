@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atalaya.bindings.registry import query
+from atalaya.session import scratch_path
 from atalaya.sources.readers import load
-from atalaya.streaming import jobs as J
+from atalaya.streaming import jobs as J, stateful as S
 
 
 def event_stream(spark, sf):
@@ -63,6 +64,15 @@ def _(spark, sf):
     return J.count_failures(drained_events(spark, sf), "user_id", F.col("event_type") != "signup", 3, 86400)
 
 
+@query("failure_lockout_stream", counter_sql("event_type <> 'signup'", 86400, "fallos >= 3"))
+def _(spark, sf):
+    """The lockout with its counters as state of the stream."""
+    events = event_stream(spark, sf).select("event_id", "user_id", "event_type", "ts")
+    with S.rocksdb_state(spark):
+        return J.run_available(
+            S.failure_counter(events, "user_id", F.col("event_type") != "signup", 3, 86400, "1 day"), "append").drop("_batch", "b")
+
+
 @query("first_hit_limit", counter_sql("true", 43200, "fallos > 1"))
 def _(spark, sf):
     """Rate limit whose window opens at the first hit of a client."""
@@ -92,8 +102,11 @@ def page_items(pages):
 def _(spark, sf):
     pages = J.stream_parquet(spark, sf, "pages", load(spark, sf, "pages").schema)
     now = F.lit("2024-01-15").cast("timestamp")
-    log = J.run_available(J.recent_feed(page_items(pages), now, 14), "append")
-    return J.top_feed(log)
+    # Items of the window lie within 14 days of each other, so the watermark drops none.
+    items = J.recent_feed(page_items(pages), now, 14)
+    base = scratch_path(spark, "feed")
+    S.keep_feed(items, base, late="14 days")
+    return S.feed(spark, base, items)
 
 
 @query("incremental_series", """

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from atalaya.functions import month_start
 from atalaya.session import file_system, path_exists, scratch_path
@@ -64,15 +65,27 @@ def recent_feed(df: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return rows.withColumn("fecha", F.date_format("ts", "yyyy-MM-dd"))
 
 
-def top_feed(items: DataFrame, n: int = 12) -> DataFrame:
+def top_items(items: DataFrame, n: int = 12) -> DataFrame:
     """Newest n items per region. One item per url is kept first, then Spark prunes to n rows
     per region inside each task before the shuffle."""
     once = items.groupBy("region", "url").agg(
         F.max_by(F.struct("titulo", "fuente", "fecha", "ts"), F.struct("ts", "titulo", "fuente")).alias("i"))
-    rows = once.select("region", "url", "i.*")
+    return numbered(once.select("region", "url", "i.*"), n).drop("orden")
+
+
+def numbered(rows: DataFrame, n: int) -> DataFrame:
     newest = Window.partitionBy("region").orderBy(F.desc("ts"), "url")
-    return rows.withColumn("orden", F.row_number().over(newest)).where(F.col("orden") <= n).select(
-        "region", "orden", "titulo", "url", "fuente", "fecha")
+    return rows.withColumn("orden", F.row_number().over(newest)).where(F.col("orden") <= n)
+
+
+def ranked(rows: DataFrame, n: int = 12) -> DataFrame:
+    """Items that `top_items` kept, with their place in the region."""
+    return numbered(rows, n).select("region", "orden", "titulo", "url", "fuente", "fecha")
+
+
+def top_feed(items: DataFrame, n: int = 12) -> DataFrame:
+    """The feed of a whole table of items."""
+    return ranked(top_items(items, n), n)
 
 
 def count_failures(events: DataFrame, key: str, failed: Column, limit: int, seconds: float,
@@ -118,28 +131,37 @@ def count_failures(events: DataFrame, key: str, failed: Column, limit: int, seco
     return short.unionByName(folded).withColumn("bloqueado", fallos > limit if strict else fallos >= limit)
 
 
-def run_available(df: DataFrame, mode: str = "update") -> DataFrame:
-    """Drain a stream once and return what it wrote, from the shared checkpoint folder.
+def drain(df: DataFrame, base: str, mode: str = "update") -> StreamingQuery:
+    """Run a stream over what has arrived and stop. The same `base` goes on where the last run ended.
 
     Every micro-batch appends its rows with its number. A batch that is replayed after a failure
-    overwrites its own folder, so the log holds each batch once. A table without rows leaves an
-    empty log.
+    overwrites its own folder, so the log holds each batch once.
     """
-    spark = df.sparkSession
-    base = scratch_path(spark, "stream")
-
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/log/b={number}")
 
     query = (df.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
+    return query
+
+
+def drained(df: DataFrame, base: str) -> DataFrame:
+    """What the runs of `drain` over `df` wrote; a table without rows leaves an empty log."""
+    spark = df.sparkSession
     schema = df.withColumn("_batch", F.lit(0)).schema
     if not path_exists(spark, f"{base}/log"):
         return spark.createDataFrame([], schema.add("b", "int"))
     return spark.read.schema(schema).parquet(f"{base}/log")
 
 
+def run_available(df: DataFrame, mode: str = "update") -> DataFrame:
+    """Drain a stream once and return what it wrote, from the shared checkpoint folder."""
+    base = scratch_path(df.sparkSession, "stream")
+    drain(df, base, mode)
+    return drained(df, base)
+
+
 def latest_rows(log: DataFrame, keys: list[str]) -> DataFrame:
     """Current row of every key in a change log written in update mode."""
     rest = [c for c in log.columns if c not in keys and c not in ("_batch", "b")]
