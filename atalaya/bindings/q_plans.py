@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from atalaya.bindings.registry import query
 from atalaya.bindings.sql_base import CTES, RESPONSE_SQL, sql
 from atalaya.operators import anomaly, isolation
 from atalaya.plans import forecast as FC, metrics as M, monitoring as MON
+from atalaya.plans.linear import Ridge
 from atalaya.plans.scenario import Scenario, scenario_projection
 from atalaya.session import cut_lineage
 
@@ -210,11 +209,10 @@ def _(spark, sf):
     return out.select("cod_municipio", "categoria", "periodo", F.round("objetivo", 6).alias("objetivo"))
 
 
-# ---------------------------------------------------------------- a model with fixed coefficients, which SQL can repeat
-def fixed(newest: float = 0.6, season: float = 0.4):
-    """An estimator that learns nothing: a fixed mix of the newest value and the one a year before."""
-    return lambda: Pipeline(stages=[SQLTransformer(
-        statement=f"SELECT *, {newest}D * lag_1 + {season}D * lag_12 AS pred FROM __THIS__")])
+# ---------------------------------------------------------------- learned linear models, which SQL can fit and repeat
+MIX = Ridge(("lag_1", "lag_12"), 0.05)
+SEASON = Ridge(("lag_12",))
+NEWEST = Ridge(("lag_1",), 0.2)
 
 
 def every_series(spark, sf):
@@ -222,21 +220,44 @@ def every_series(spark, sf):
     return FC.prepare_panel(B.panel(spark, sf), 0)
 
 
-def model_sql(bt: str = "bt", newest: float = 0.6, season: float = 0.4) -> str:
-    """Backtest rows with the recursive forecast of the fixed model and the served mix."""
+def weights_sql(ridge: Ridge) -> str:
+    """Weights of the newest value (a) and the one a year before (b) and the constant (c), from sums over known months."""
+    own = 1 + ridge.strength
+    if len(ridge.features) == 2:
+        a, b = (f"({own} * {v} * {t} - {s} * {u}) / ({own} * {own} * vx * vz - s * s)" for v, t, s, u in (
+            ("vz", "tx", "s", "tz"), ("vx", "tz", "s", "tx")))
+    else:
+        a, b = (f"{t} / ({own} * {v})" if f in ridge.features else "0.0::DOUBLE" for f, t, v in (("lag_1", "tx", "vx"), ("lag_12", "tz", "vz")))
+    return f"SELECT origen, a, b, my - a * mx - b * mz AS c FROM (SELECT *, {a} AS a, {b} AS b FROM sums)"
+
+
+def sums_sql(origins: str) -> str:
+    return f"""
+    SELECT origen, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS vx, avg(z * z) - avg(z) * avg(z) AS vz,
+      avg(x * z) - avg(x) * avg(z) AS s, avg(x * y) - avg(x) * avg(y) AS tx, avg(z * y) - avg(z) * avg(y) AS tz
+    FROM {origins} JOIN lagged ON periodo < origen WHERE z IS NOT NULL GROUP BY origen"""
+
+
+def model_sql(bt: str, origins: str, ridge: Ridge) -> str:
+    """Backtest rows with the recursive forecast of the model fitted before each origin, and the served mix."""
     return f"""
-    SELECT *, 0.7 * yhat_modelo + (1 - 0.7) * persistencia AS yhat FROM (
-      SELECT *, list_reduce([persistencia] || list(estacional) OVER (PARTITION BY origen, cod_municipio, categoria ORDER BY paso
-        ROWS UNBOUNDED PRECEDING), lambda a, x: greatest(0.0::DOUBLE, {newest}::DOUBLE * a + {season}::DOUBLE * x)) AS yhat_modelo FROM {bt})"""
+    WITH sums AS ({sums_sql(origins)}), w AS ({weights_sql(ridge)})
+    SELECT * EXCLUDE (a, b, c), 0.7 * yhat_modelo + (1 - 0.7) * persistencia AS yhat FROM (
+      SELECT t.*, list_reduce([persistencia] || list(estacional) OVER (PARTITION BY t.origen, cod_municipio, categoria ORDER BY paso
+        ROWS UNBOUNDED PRECEDING), lambda p, v: greatest(0.0::DOUBLE, c + a * p + b * v)) AS yhat_modelo, a, b, c FROM {bt} t JOIN w ON w.origen = t.origen)"""
 
 
-CTES["btm"] = model_sql()
-CTES["btm_season"] = model_sql("bt", 0.0, 1.0)
-CTES["btm_newest"] = model_sql("bt", 1.0, 0.0)
+CTES["lagged"] = """
+    SELECT periodo, CAST(cantidad AS DOUBLE) AS y, CAST(lag(cantidad, 1) OVER s AS DOUBLE) AS x, CAST(lag(cantidad, 12) OVER s AS DOUBLE) AS z
+    FROM panel WINDOW s AS (PARTITION BY cod_municipio, categoria ORDER BY periodo)"""
 for cte, other in (("origins", "origins12"), ("before", "before12"), ("bt", "bt12")):
     CTES[other] = (CTES[cte].replace("greatest(1, n - 8) AND n - 6", "greatest(1, n - 13) AND n - 12").replace("FROM origins o", "FROM origins12 o")
                    .replace("FROM before b", "FROM before12 b").replace("b.idx + 5", "b.idx + 11"))
-CTES["btm12"] = model_sql("bt12")
+CTES["btm"] = model_sql("bt", "origins", MIX)
+CTES["btm_season"] = model_sql("bt", "origins", SEASON)
+CTES["btm_newest"] = model_sql("bt", "origins", NEWEST)
+CTES["btm12"] = model_sql("bt12", "origins12", MIX)
+CTES["whole"] = "SELECT CAST(max(periodo) + INTERVAL 1 MONTH AS DATE) AS origen FROM panel"
 CTES["btm_band"] = """
     WITH p AS (SELECT avg((y - yhat) ** 2 / greatest(yhat, 1.0)) AS phi FROM btm WHERE paso = 1)
     SELECT any_value(phi) AS phi, quantile_cont(abs(y - yhat) / greatest(sqrt(phi * greatest(yhat, 1.0)) * sqrt(paso), 1e-9), 0.8) AS escala_z
@@ -247,32 +268,33 @@ CTES["btm_band"] = """
     SELECT m.*, round(phi, 4) AS dispersion, round(escala_z, 4) AS escala_banda FROM (SELECT {METRICS_SQL} FROM btm) m, btm_band"""))
 def _(spark, sf):
     """Backtest metrics of the model, its dispersion and band scale."""
-    return trained(FC.train(B.panel(spark, sf), min_nonzero=0, make_estimator=fixed()))
+    return trained(FC.train(B.panel(spark, sf), min_nonzero=0, make_estimator=MIX))
 
 
 @query("forecast_recursive", sql("""
-    WITH ser AS (SELECT cod_municipio, categoria, list(CAST(cantidad AS DOUBLE) ORDER BY periodo) AS v, max(periodo) AS ultimo FROM panel GROUP BY ALL),
+    WITH sums AS (""" + sums_sql("whole") + "), w AS (" + weights_sql(MIX) + """),
+    ser AS (SELECT cod_municipio, categoria, list(CAST(cantidad AS DOUBLE) ORDER BY periodo) AS v, max(periodo) AS ultimo FROM panel GROUP BY ALL),
     st AS (SELECT *, len(v) AS n, unnest(range(1, 7)) AS k FROM ser),
-    m AS (SELECT *, list_reduce([v[n]] || list_transform(range(1, k + 1), lambda j: CASE WHEN n - 12 + j >= 1 THEN v[n - 12 + j] ELSE 0.0 END),
-      lambda a, x: greatest(0.0::DOUBLE, 0.6::DOUBLE * a + 0.4::DOUBLE * x)) AS modelo FROM st),
+    m AS (SELECT st.*, list_reduce([v[n]] || list_transform(range(1, k + 1), lambda j: CASE WHEN n - 12 + j >= 1 THEN v[n - 12 + j] ELSE 0.0 END),
+      lambda p, x: greatest(0.0::DOUBLE, c + a * p + b * x)) AS modelo FROM st, w),
     f AS (SELECT *, 0.7 * modelo + (1 - 0.7) * v[n] AS u FROM m),
     h AS (SELECT f.*, escala_z * sqrt(phi * greatest(u, 1.0)) * sqrt(k) AS ancho FROM f, btm_band)
     SELECT cod_municipio, categoria, CAST(k AS INTEGER) AS paso, CAST(ultimo + to_months(CAST(k AS INTEGER)) AS DATE) AS periodo, round(u, 2) AS prediccion,
       round(greatest(0.0, u - ancho), 2) AS limite_inferior, round(u + ancho, 2) AS limite_superior FROM h"""))
 def _(spark, sf):
-    return FC.forecast(FC.train(B.panel(spark, sf), min_nonzero=0, make_estimator=fixed()))
+    return FC.forecast(FC.train(B.panel(spark, sf), min_nonzero=0, make_estimator=MIX))
 
 
 @query("walk_forward", sql("""
     SELECT origen, paso, cod_municipio, categoria, periodo, y, round(yhat, 4) AS yhat, persistencia, estacional, round(escala, 4) AS escala,
       round(volumen, 4) AS volumen FROM btm"""))
 def _(spark, sf):
-    return rounded_bt(FC.walk_forward(B.panel(spark, sf), make_estimator=fixed(), prepared=every_series(spark, sf)))
+    return rounded_bt(FC.walk_forward(B.panel(spark, sf), make_estimator=MIX, prepared=every_series(spark, sf)))
 
 
 @query("backtest_long", sql(LIGHT_SQL.replace("btd", "btm12")))
 def _(spark, sf):
-    rows = FC.walk_forward(B.panel(spark, sf), 12, 2, fixed(), prepared=every_series(spark, sf))
+    rows = FC.walk_forward(B.panel(spark, sf), 12, 2, MIX, prepared=every_series(spark, sf))
     return MON.backtest_light(cut_lineage(rows))
 
 
@@ -286,14 +308,14 @@ def errors_sql(bt: str) -> str:
         WHEN (a.multi - b.multi) / greatest(a.multi, 1e-9) < -0.01 THEN 'champion' ELSE 'empate' END AS veredicto
     FROM ({errors_sql('btm')}) a, ({errors_sql('btm_season')}) b"""))
 def _(spark, sf):
-    return FC.champion_challenger(B.panel(spark, sf), fixed(), fixed(0.0, 1.0), min_nonzero=0)
+    return FC.champion_challenger(B.panel(spark, sf), MIX, SEASON, min_nonzero=0)
 
 
 @query("hpo_temporal", sql("\nUNION ALL\n".join(
     f"SELECT '{name}' AS candidato, round(avg(abs(y - yhat)), 4) AS mae_multipaso FROM {bt}"
     for name, bt in (("mezcla", "btm"), ("estacional", "btm_season"), ("ultimo", "btm_newest")))))
 def _(spark, sf):
-    grid = {"mezcla": fixed(), "estacional": fixed(0.0, 1.0), "ultimo": fixed(1.0, 0.0)}
+    grid = {"mezcla": MIX, "estacional": SEASON, "ultimo": NEWEST}
     return FC.hpo_temporal(B.panel(spark, sf), grid, min_nonzero=0)
 
 

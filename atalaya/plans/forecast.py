@@ -18,10 +18,12 @@ from atalaya.functions import period_str, to_count, to_rate
 from atalaya.operators.features import active_series, calendar_columns, feature_names, make_features
 from atalaya.operators.serve import global_rank
 from atalaya.plans import metrics as m
-from atalaya.plans.backtest import baseline_backtest, find_origins
+from atalaya.plans.backtest import Origins, baseline_backtest, find_origins
+from atalaya.plans.linear import LinearModel, Moments, Ridge, moments
 from atalaya.session import cut_lineage, path_exists
 
-Factory = Callable[[], Estimator]
+# What makes a model: an estimator of Spark ML, or a ridge regression solved from sums by month.
+Factory = Callable[[], Estimator] | Ridge
 
 # Rounds of the shuffle of row numbers.
 SHUFFLE_ROUNDS = 16
@@ -52,7 +54,7 @@ def modeling_target(panel: DataFrame) -> tuple[DataFrame, str]:
 class Forecaster:
     """A fitted model with what recursion and the band need."""
 
-    model: Model
+    model: Model | LinearModel
     mode: str
     features: list[str]
     first_year: int
@@ -70,6 +72,16 @@ class Prepared:
     mode: str
     features: list[str]
     first_year: int
+    _sums: Moments | None = field(default=None, repr=False)
+
+    def trainable(self) -> DataFrame:
+        return self.rows.where(F.col(f"lag_{max(LAGS)}").isNotNull())
+
+    def sums(self) -> Moments:
+        """The sums by month of all complete rows, added up once."""
+        if self._sums is None:
+            self._sums = moments(self.trainable(), self.features)
+        return self._sums
 
 
 def prepare_panel(panel: DataFrame, min_nonzero: int = 12) -> Prepared:
@@ -93,9 +105,11 @@ def _assembled(rows: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(clean)
 
 
-def fit(prepared: Prepared, make_estimator: Factory, before: date | None = None) -> Model:
+def fit(prepared: Prepared, make_estimator: Factory, before: date | None = None) -> Model | LinearModel:
     """Fit on complete feature rows, optionally only those before an origin."""
-    rows = prepared.rows.where(F.col(f"lag_{max(LAGS)}").isNotNull())
+    if isinstance(make_estimator, Ridge):
+        return prepared.sums().model(make_estimator, before)
+    rows = prepared.trainable()
     if before is not None:
         rows = rows.where(F.col("periodo") < F.lit(before))
     training = _assembled(rows, prepared.features).select("features", "objetivo")
@@ -143,45 +157,133 @@ def _state_features(past: Column, months: Column, month: Column, first_year: int
     return out
 
 
-def recurse(prepared: Prepared, model: Model, state: DataFrame, horizon: int,
+def _step_inputs(prepared: Prepared, hist: Column, months: Column, last: Column, target: Column,
+                 population: Column, feature_row: str) -> dict[str, Column]:
+    """Inputs of the next month, or with `feature_row='last'` those of the newest known month."""
+    if feature_row == "last":
+        past = F.slice(hist, 1, F.greatest(F.size(hist) - 1, F.lit(0)))
+        inputs = _state_features(past, months - 1, last, prepared.first_year)
+    else:
+        inputs = _state_features(hist, months, target, prepared.first_year)
+    if "log_poblacion" in prepared.features:
+        inputs["log_poblacion"] = F.log1p(population)
+    if "tasa_hist" in prepared.features:
+        inputs["tasa_hist"] = inputs["media_hist"] / F.when(population > 0, population) * 1e5
+    return inputs
+
+
+def _as_count(prepared: Prepared, value: Column) -> Column:
+    if prepared.mode == "rate":
+        return to_count(value, F.coalesce(F.col("poblacion"), F.lit(1e5)))
+    return value
+
+
+def recurse(prepared: Prepared, model: Model | LinearModel, state: DataFrame, horizon: int,
             dates: list[date] | None = None, feature_row: str = "next") -> DataFrame:
     """Forecast every series `horizon` steps ahead, feeding each prediction back.
 
     One row per series carries its trailing values, so a step is a projection and a model call
-    with no shuffle. The lineage is cut after each step, which also bounds the plan. With
-    `feature_row='last'` a step uses the inputs of the newest known month instead of the next one.
+    with no shuffle. The lineage is cut after each step, which also bounds the plan; a linear model
+    needs neither, as `fold_linear` takes all steps at once.
     """
+    if isinstance(model, LinearModel):
+        months = _months_ahead(horizon, dates)
+        return fold_linear(prepared, state.withColumn("fechas", months), [model], feature_row).drop("_modelo")
     state = state.withColumns({
         "preds": F.array().cast("array<double>"), "fechas": F.array().cast("array<date>")})
     for step in range(1, horizon + 1):
         target = F.lit(dates[step - 1]) if dates else F.add_months("ultimo", 1)
-        if feature_row == "last":
-            past = F.slice(F.col("hist"), 1, F.greatest(F.size("hist") - 1, F.lit(0)))
-            inputs = _state_features(past, F.col("meses") - 1, F.col("ultimo"), prepared.first_year)
-        else:
-            inputs = _state_features(F.col("hist"), F.col("meses"), target, prepared.first_year)
-        if "log_poblacion" in prepared.features:
-            inputs["log_poblacion"] = F.log1p("poblacion")
-        if "tasa_hist" in prepared.features:
-            inputs["tasa_hist"] = inputs["media_hist"] / F.when(
-                F.col("poblacion") > 0, F.col("poblacion")) * 1e5
+        inputs = _step_inputs(prepared, F.col("hist"), F.col("meses"), F.col("ultimo"), target, F.col("poblacion"), feature_row)
         rows = _assembled(state.withColumn("_target", target).withColumns(inputs), prepared.features)
         scored = model.transform(rows).withColumn("_yhat", F.greatest(F.col("pred"), F.lit(0.0)))
-        count = F.col("_yhat")
-        if prepared.mode == "rate":
-            count = to_count(F.col("_yhat"), F.coalesce(F.col("poblacion"), F.lit(1e5)))
         state = cut_lineage(scored.select(
             *SERIES_KEY, "persistencia", "poblacion",
             (F.col("meses") + 1).alias("meses"), F.col("_target").alias("ultimo"),
             _tail(F.concat("hist", F.array("_yhat"))).alias("hist"),
-            F.concat("preds", F.array(count)).alias("preds"),
+            F.concat("preds", F.array(_as_count(prepared, F.col("_yhat")))).alias("preds"),
             F.concat("fechas", F.array("_target")).alias("fechas")))
-    return state.select(*SERIES_KEY, "persistencia",
-                        F.posexplode(F.arrays_zip("preds", "fechas")).alias("_i", "_p")).select(
-        *SERIES_KEY, (F.col("_i") + 1).alias("paso"), F.col("_p.fechas").alias("periodo"),
+    return _by_step(state.select(*SERIES_KEY, "persistencia", F.arrays_zip("preds", "fechas").alias("_p")))
+
+
+def _by_step(rows: DataFrame) -> DataFrame:
+    """One row per step of arrays of predictions and their months."""
+    rest = [c for c in rows.columns if c not in (*SERIES_KEY, "_p", "persistencia")]
+    return rows.select(*SERIES_KEY, *rest, "persistencia", F.posexplode("_p").alias("_i", "_p")).select(
+        *SERIES_KEY, *rest, (F.col("_i") + 1).alias("paso"), F.col("_p.fechas").alias("periodo"),
         F.col("_p.preds").alias("yhat_modelo"), "persistencia")
 
 
+def _months_ahead(horizon: int, dates: list[date] | None = None) -> Column:
+    if dates:
+        return F.array(*[F.lit(d) for d in dates])
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.add_months("ultimo", k))
+
+
+def fold_linear(prepared: Prepared, state: DataFrame, models: list[LinearModel], feature_row: str = "next") -> DataFrame:
+    """All steps of every series under the model numbered `_modelo` (the first where there is no such column).
+
+    A step depends on the one before only through the trailing values of its own series, so the
+    recursion is one fold over the months `fechas` in one projection: no checkpoint and no shuffle.
+    Only inputs that some model weighs are computed.
+    """
+    if "_modelo" not in state.columns:
+        state = state.withColumn("_modelo", F.lit(0))
+    used = [i for i in range(len(prepared.features)) if any(m.weights[i] for m in models)]
+    weights = F.array(*[F.array(*[F.lit(m.weights[i]) for i in used]).cast("array<double>") for m in models])
+    constants = F.array(*[F.lit(m.constant) for m in models])
+    state = state.withColumns({"_w": F.get(weights, F.col("_modelo")), "_c": F.get(constants, F.col("_modelo"))})
+
+    def step(known: Column, target: Column) -> Column:
+        inputs = _step_inputs(prepared, known["hist"], known["meses"], known["ultimo"], target, F.col("poblacion"), feature_row)
+        value = F.col("_c")
+        for place, i in enumerate(used):
+            value = value + F.get("_w", F.lit(place)) * F.coalesce(inputs[prepared.features[i]].cast("double"), F.lit(0.0))
+        # One value for both uses, so the inputs are computed once a step.
+        return F.element_at(F.transform(F.array(F.greatest(value, F.lit(0.0))), lambda y: F.struct(
+            _tail(F.concat(known["hist"], F.array(y))).alias("hist"), (known["meses"] + 1).alias("meses"),
+            target.alias("ultimo"), F.concat(known["ahead"], F.array(y)).alias("ahead"))), 1)
+
+    start = F.struct(F.col("hist"), F.col("meses").cast("double").alias("meses"), F.col("ultimo"),
+                     F.array().cast("array<double>").alias("ahead"))
+    ahead = F.aggregate("fechas", start, step, lambda known: known["ahead"])
+    rows = state.withColumn("_ahead", ahead).withColumn("preds", F.transform("_ahead", lambda y: _as_count(prepared, y)))
+    return _by_step(rows.select(*SERIES_KEY, "_modelo", "persistencia", F.arrays_zip("preds", "fechas").alias("_p")))
+
+
+def ridge_ahead(prepared: Prepared, grid: dict[str, Ridge], origins: Origins, feature_row: str = "next") -> DataFrame:
+    """Forecasts of every candidate from every origin: sums in one pass, all recursions in a second one.
+
+    Each series is gathered once, in order, and cut at each origin; both are bounded by the calendar.
+    """
+    rows = prepared.rows
+    cuts, models, labels = [], [], []
+    for position in origins.positions:
+        origin = origins.periods[position]
+        for name, ridge in grid.items():
+            cuts.append(F.struct(F.lit(len(models)).alias("_modelo"), F.lit(origin).alias("origen"),
+                                 _months_ahead(origins.horizon, origins.targets(position)).alias("fechas")))
+            models.append(prepared.sums().model(ridge, origin))
+            labels.append(name)
+    out = ["origen", "candidato", *SERIES_KEY, "paso", "yhat_modelo"]
+    if not models:
+        empty = rows.limit(0).select(*SERIES_KEY, F.lit(None).cast("date").alias("origen"), F.lit("").alias("candidato"),
+                                     F.lit(1).alias("paso"), F.lit(0.0).alias("yhat_modelo"))
+        return empty.select(*out)
+    population = F.col("poblacion") if "poblacion" in rows.columns else F.lit(None)
+    point = F.struct("periodo", "objetivo", F.col("cantidad").cast("double").alias("cantidad"), population.cast("double").alias("poblacion"))
+    series = rows.groupBy(*SERIES_KEY).agg(F.array_sort(F.collect_list(point)).alias("_all"))
+    cut = series.select(*SERIES_KEY, "_all", F.explode(F.array(*cuts)).alias("_cut")).select(*SERIES_KEY, "_all", "_cut.*")
+    known = cut.withColumn("_all", F.filter("_all", lambda p: p["periodo"] < F.col("origen"))).where(F.size("_all") > 0)
+    last = F.element_at("_all", -1)
+    state = known.select(
+        *SERIES_KEY, "_modelo", "fechas", _tail(F.transform("_all", lambda p: p["objetivo"])).alias("hist"),
+        F.size("_all").cast("double").alias("meses"), last["periodo"].alias("ultimo"),
+        last["cantidad"].alias("persistencia"), last["poblacion"].alias("poblacion"))
+    ahead = fold_linear(prepared, state, models, feature_row)
+    per_model = {"origen": [F.lit(origins.periods[p]) for p in origins.positions for _ in grid], "candidato": [F.lit(n) for n in labels]}
+    return ahead.withColumns({c: F.get(F.array(*v), F.col("_modelo")) for c, v in per_model.items()}).select(*out)
+
+
 def walk_forward(panel: DataFrame, horizon: int = 6, n_splits: int = 3,
                  make_estimator: Factory = default_estimator, feature_row: str = "next",
                  blend: float = BLEND, prepared: Prepared | None = None) -> DataFrame:
@@ -192,8 +294,8 @@ def walk_forward(panel: DataFrame, horizon: int = 6, n_splits: int = 3,
     prepared = prepared or prepare_panel(panel)
     origins = find_origins(prepared.rows, horizon, n_splits)
     truth = baseline_backtest(prepared.rows, origins=origins)
-    parts = None
-    for position in origins.positions:
+    parts = ridge_ahead(prepared, {"": make_estimator}, origins, feature_row).drop("candidato") if isinstance(make_estimator, Ridge) else None
+    for position in origins.positions if parts is None else ():
         origin = origins.periods[position]
         model = fit(prepared, make_estimator, origin)
         ahead = recurse(prepared, model, series_state(prepared, origin), origins.horizon,
@@ -201,7 +303,11 @@ def walk_forward(panel: DataFrame, horizon: int = 6, n_splits: int = 3,
         ahead = ahead.select(F.lit(origin).alias("origen"), *SERIES_KEY, "paso", "yhat_modelo")
         parts = ahead if parts is None else parts.unionByName(ahead)
     joined = truth.join(parts, ["origen", "paso", *SERIES_KEY])
-    return joined.withColumn("yhat", blend * F.col("yhat_modelo") + (1 - blend) * F.col("persistencia"))
+    return joined.withColumn("yhat", _served(blend))
+
+
+def _served(blend: float = BLEND) -> Column:
+    return blend * F.col("yhat_modelo") + (1 - blend) * F.col("persistencia")
 
 
 def train(panel: DataFrame, horizon: int = 6, n_splits: int = 3, min_nonzero: int = 12,
@@ -317,8 +423,16 @@ def hpo_temporal(panel: DataFrame, grid: dict[str, Factory], horizon: int = 6,
                  n_splits: int = 3, min_nonzero: int = 12) -> DataFrame:
     """Candidates scored by multi-step error under temporal validation, best first."""
     prepared = prepare_panel(panel, min_nonzero)
+    ridges = {name: f for name, f in grid.items() if isinstance(f, Ridge)}
     out = None
+    if ridges:
+        # All of them from the same sums and the same recursion.
+        origins = find_origins(prepared.rows, horizon, n_splits)
+        bt = baseline_backtest(prepared.rows, origins=origins).join(ridge_ahead(prepared, ridges, origins), ["origen", "paso", *SERIES_KEY])
+        out = bt.groupBy("candidato").agg(F.round(F.avg(F.abs(F.col("y") - _served())), 4).alias("mae_multipaso"))
     for name, factory in grid.items():
+        if name in ridges:
+            continue
         bt = cut_lineage(walk_forward(panel, horizon, n_splits, factory, prepared=prepared))
         row = bt.agg(F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 4).alias("mae_multipaso"))
         row = row.select(F.lit(name).alias("candidato"), "mae_multipaso")
@@ -327,20 +441,30 @@ def hpo_temporal(panel: DataFrame, grid: dict[str, Factory], horizon: int = 6,
 
 
 def save(fitted: Forecaster, path: str) -> None:
-    """Store the model and its scalars with Spark ML persistence."""
+    """Store the model and its scalars: Spark ML persistence, or one row per weight of a linear model."""
     spark = fitted.prepared.rows.sparkSession
-    fitted.model.write().overwrite().save(f"{path}/model")
+    linear = isinstance(fitted.model, LinearModel)
+    if linear:
+        terms = [*zip(fitted.model.names, fitted.model.weights, strict=True), (None, fitted.model.constant)]
+        spark.createDataFrame(terms, "nombre string, peso double").write.mode("overwrite").parquet(f"{path}/linear")
+    else:
+        fitted.model.write().overwrite().save(f"{path}/model")
     meta = [(fitted.mode, ",".join(fitted.features), fitted.first_year, fitted.dispersion,
-             fitted.band_scale)]
+             fitted.band_scale, linear)]
     spark.createDataFrame(meta, "mode string, features string, first_year int, dispersion double, "
-                                "band_scale double").write.mode("overwrite").parquet(f"{path}/meta")
+                                "band_scale double, linear boolean").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> Forecaster:
     """A forecaster as `save` stored it; its rows are prepared again from a panel when it is used."""
     row = spark.read.parquet(f"{path}/meta").first()
-    return Forecaster(PipelineModel.load(f"{path}/model") if _is_pipeline(spark, path) else GBTRegressionModel.load(f"{path}/model"),
-                      row["mode"], row["features"].split(","), row["first_year"], row["dispersion"], row["band_scale"])
+    names = row["features"].split(",")
+    if row.asDict().get("linear"):
+        terms = {r["nombre"]: r["peso"] for r in spark.read.parquet(f"{path}/linear").collect()}
+        model = LinearModel(tuple(names), tuple(terms[n] for n in names), terms[None])
+    else:
+        model = PipelineModel.load(f"{path}/model") if _is_pipeline(spark, path) else GBTRegressionModel.load(f"{path}/model")
+    return Forecaster(model, row["mode"], names, row["first_year"], row["dispersion"], row["band_scale"])
 
 
 def _is_pipeline(spark: SparkSession, path: str) -> bool:
