@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from atalaya.bindings.registry import query
 from atalaya.session import scratch_path
 from atalaya.sources.readers import load
-from atalaya.streaming import jobs as J, stateful as S
+from atalaya.streaming import counters as C, jobs as J, stateful as S
 
 
 def event_stream(spark, sf):
@@ -61,7 +61,7 @@ def counter_sql(fails: str, seconds: int, locked: str) -> str:
 
 @query("failure_lockout", counter_sql("event_type <> 'signup'", 86400, "fallos >= 3"))
 def _(spark, sf):
-    return J.count_failures(drained_events(spark, sf), "user_id", F.col("event_type") != "signup", 3, 86400)
+    return C.count_failures(drained_events(spark, sf), "user_id", F.col("event_type") != "signup", 3, 86400)
 
 
 @query("failure_lockout_stream", counter_sql("event_type <> 'signup'", 86400, "fallos >= 3"))
@@ -76,7 +76,7 @@ def _(spark, sf):
 @query("first_hit_limit", counter_sql("true", 43200, "fallos > 1"))
 def _(spark, sf):
     """Rate limit whose window opens at the first hit of a client."""
-    return J.count_failures(drained_events(spark, sf), "user_id", F.lit(True), 1, 43200, strict=True)
+    return C.count_failures(drained_events(spark, sf), "user_id", F.lit(True), 1, 43200, strict=True)
 
 
 FEED_SQL = r"""

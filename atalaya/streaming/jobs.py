@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -88,49 +85,6 @@ def top_feed(items: DataFrame, n: int = 12) -> DataFrame:
     return ranked(top_items(items, n), n)
 
 
-def count_failures(events: DataFrame, key: str, failed: Column, limit: int, seconds: float,
-                   strict: bool = False) -> DataFrame:
-    """Per event: failures counted since the last success or expiry, and whether that locks.
-
-    The counter of a key starts at its first counted event, expires `seconds` later, and a success
-    clears it. With every event counted as a failure this is a first-hit rate limit. Events of a key
-    are ordered by time and id, whatever files or batches brought them.
-
-    A success, or a gap of `seconds`, clears the counter whatever came before, so a key falls into
-    independent stretches. One that is over before its counter can expire is numbered by a window;
-    the others are dealt out by stretch and folded row by row, holding two numbers at a time.
-    """
-    span = int(seconds * 1_000_000)
-    order = Window.partitionBy(key).orderBy("_t", "event_id")
-    rows = events.select(key, "event_id", F.unix_micros("ts").alias("_t"), failed.alias("_fail"))
-    opens = F.coalesce(~F.lag("_fail").over(order) | (F.col("_t") - F.lag("_t").over(order) >= span), F.lit(True))
-    rows = rows.withColumn("_part", F.sum(opens.cast("int")).over(order))
-    own = Window.partitionBy(key, "_part")
-    within = own.orderBy("_t", "event_id")
-    rows = rows.withColumn("_n", F.row_number().over(within)).withColumn("_long", F.max("_t").over(own) - F.min("_t").over(own) >= span)
-    short = rows.where(~F.col("_long")).select(key, "event_id", F.when(F.col("_fail"), F.col("_n")).otherwise(0).alias("fallos"))
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, count, start = None, 0, 0
-        for pdf in frames:
-            out = []
-            for who, part, at, fails in zip(pdf[key], pdf["_part"], pdf["_t"], pdf["_fail"], strict=True):
-                if (who, part) != stretch or at >= start + span:
-                    stretch, count = (who, part), 0
-                if fails and count == 0:
-                    start = at
-                count = count + 1 if fails else 0
-                out.append(count)
-            yield pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "fallos": out})
-
-    key_type, id_type = (events.schema[c].dataType.simpleString() for c in (key, "event_id"))
-    folded = (rows.where("_long").select(key, "event_id", "_part", "_t", "_fail").repartition(key, "_part")
-              .sortWithinPartitions(key, "_part", "_t", "event_id")
-              .mapInPandas(fold, f"{key} {key_type}, event_id {id_type}, fallos int"))
-    fallos = F.col("fallos")
-    return short.unionByName(folded).withColumn("bloqueado", fallos > limit if strict else fallos >= limit)
-
-
 def drain(df: DataFrame, base: str, mode: str = "update") -> StreamingQuery:
     """Run a stream over what has arrived and stop. The same `base` goes on where the last run ended.
 

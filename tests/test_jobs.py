@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from atalaya.bindings import load_all
 from atalaya.sources import readers as R, sinks as S
-from atalaya.streaming import jobs as J
+from atalaya.streaming import counters as C, jobs as J
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -45,7 +45,7 @@ def test_lockout_across_batches(spark, tmp_path):
     schema = "event_id bigint, ts timestamp, user_id bigint, fail boolean"
     s = stream(spark, tmp_path, rows[::-1], schema, 4)  # newest first
     got = {r.event_id: (r.fallos, r.bloqueado) for r in
-           J.count_failures(J.run_available(s, "append"), "user_id", F.col("fail"), 3, 300).collect()}
+           C.count_failures(J.run_available(s, "append"), "user_id", F.col("fail"), 3, 300).collect()}
     want, state = {}, {}
     for i, ts, user, fail in rows:
         n, first = state.get(user, (0, ts))
@@ -66,7 +66,7 @@ def test_lockout_of_one_long_stretch(spark):
     start = datetime(2024, 1, 1)
     rows = [(i, start + timedelta(seconds=40 * i), 1, True) for i in range(200)]
     df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, fail boolean")
-    got = {r.event_id: r.fallos for r in J.count_failures(df, "user_id", F.col("fail"), 3, 300).collect()}
+    got = {r.event_id: r.fallos for r in C.count_failures(df, "user_id", F.col("fail"), 3, 300).collect()}
     assert got == {i: i % 8 + 1 for i in range(200)}
 
 
