@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from atalaya.bindings.registry import query
 from atalaya.session import scratch_path
 from atalaya.sources.readers import load
-from atalaya.streaming import counters as C, jobs as J, stateful as S
+from atalaya.streaming import counters as C, gold as G, jobs as J, stateful as S
 
 
 def event_stream(spark, sf):
@@ -117,3 +117,13 @@ def _(spark, sf):
     return J.months_of(J.latest_rows(log, [*keys, "dia"]), keys)
 
 
+
+
+@query("incremental_series_upsert", """
+    SELECT event_type, user_id, CAST(ts AS DATE) AS dia, count(*) AS cantidad FROM events GROUP BY ALL""")
+def _(spark, sf):
+    """Daily totals kept in a gold table that every batch merges its own days into."""
+    keys = ["event_type", "user_id"]
+    events, base = event_stream(spark, sf).select("event_type", "user_id", "ts"), scratch_path(spark, "gold")
+    G.upsert_days(events, base, keys)
+    return G.gold(events, base, keys).drop("periodo")

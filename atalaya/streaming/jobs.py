@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType
 
 from atalaya.functions import month_start
 from atalaya.session import file_system, path_exists, scratch_path
@@ -105,7 +106,7 @@ def drained(df: DataFrame, base: str) -> DataFrame:
     spark = df.sparkSession
     schema = df.withColumn("_batch", F.lit(0)).schema
     if not path_exists(spark, f"{base}/log"):
-        return spark.createDataFrame([], schema.add("b", "int"))
+        return spark.createDataFrame([], schema.add("b", IntegerType()))
     return spark.read.schema(schema).parquet(f"{base}/log")
 
 
