@@ -12,7 +12,7 @@ from atalaya.bindings.registry import query
 from atalaya.bindings.sql_base import CTES, sql
 from atalaya.operators import quality
 from atalaya.session import cut_lineage, scratch_path
-from atalaya.sources import events as E, readers as R, sinks as S
+from atalaya.sources import events as E, pages as P, readers as R, sinks as S
 from atalaya.sources.catalog import SourceSpec
 
 NOW_SQL = "DATE '2001-06-15'"
@@ -178,6 +178,16 @@ def _(spark, sf):
     return R.group_count(B.events_u(spark, sf), ["cod_municipio", "categoria", "segmento"])
 
 
+@query("group_count_paged", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    """The same kind of counts from a source that hands out pages by key, here a published folder in key order."""
+    events, path = R.load(spark, sf, "events", ["event_id", "event_type", "user_id"]), _scratch(spark)
+    events.repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(path)
+    cols = ["event_type", "user_id"]
+    client = P.FolderClient(path, "event_id", cols)
+    return P.count_pages(spark, client, events.select(*cols).schema, f"{path}-job")
+
+
 @query("ingest_reconcile", "SELECT count(*) AS source_rows, count(*) AS source_count, CAST(0 AS BIGINT) AS diferencia FROM lineitem")
 def _(spark, sf):
     lines = R.load(spark, sf, "lineitem", ["l_suppkey", "l_returnflag"])
