@@ -12,7 +12,7 @@ from atalaya.bindings.registry import query
 from atalaya.bindings.sql_base import CTES, sql
 from atalaya.operators import quality
 from atalaya.session import cut_lineage, scratch_path
-from atalaya.sources import events as E, pages as P, readers as R, sinks as S
+from atalaya.sources import events as E, files as D, pages as P, readers as R, sinks as S
 from atalaya.sources.catalog import SourceSpec
 
 NOW_SQL = "DATE '2001-06-15'"
@@ -173,6 +173,24 @@ def _(spark, sf):
     return R.verify_files(spark, f"{path}/source=*/*.txt", published, name).select("fichero", "bytes", "coincide")
 
 
+@query("file_checksum_stream", """
+    SELECT source || '.txt' AS fichero, b AS bytes, source <> 'src3' AS coincide, CAST(ceil(b / 65536.0) AS BIGINT) AS bloques FROM (
+      SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS b FROM documents
+      WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source)""")
+def _(spark, sf):
+    """Files of any size: digests of whole files as streams, and their blocks by other tasks; one published digest is wrong."""
+    docs = R.load(spark, sf, "documents", ["doc_id", "source", "text"]).where("text IS NOT NULL AND source IS NOT NULL")
+    path = _scratch(spark)
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path)
+    name = F.concat(F.regexp_extract("path", "source=([^/]+)", 1), F.lit(".txt"))
+    published = D.line_digests(docs, "source", "doc_id", "text").select(
+        F.concat("fichero", F.lit(".txt")).alias("fichero"), "bytes",
+        F.when(F.col("fichero") == "src3", F.lit("")).otherwise(F.col("sha256")).alias("sha256"))
+    files = D.listed(spark, f"{path}/source=*/*.txt")
+    blocks = D.block_digests(files, 65536).groupBy(name.alias("fichero")).agg(F.count(F.lit(1)).alias("bloques"))
+    return D.verify_whole(files, published, name).select("fichero", "bytes", "coincide").join(blocks, "fichero")
+
+
 @query("group_count_merge", sql("SELECT cod_municipio, categoria, segmento, count(*) AS n FROM events_u GROUP BY ALL"))
 def _(spark, sf):
     return R.group_count(B.events_u(spark, sf), ["cod_municipio", "categoria", "segmento"])
@@ -215,6 +233,18 @@ def _(spark, sf):
     return loaded
 
 
+@query("sink_relational_swap", sql("SELECT cod_municipio, total_hechos, municipio FROM summary"))
+def _(spark, sf):
+    """Loads into a table of the session catalog that stands whole at any time; the second replaces the first."""
+    table, cols, base = f"carga_{uuid.uuid4().hex}", ["cod_municipio", "total_hechos", "municipio"], _scratch(spark)
+    rows = B.summary(spark, sf)
+    S.load_table(rows.limit(3), table, cols, base)
+    S.load_table(rows, table, cols, base)
+    loaded = cut_lineage(spark.table(table))
+    spark.sql(f"DROP TABLE {table}")
+    return loaded
+
+
 @query("sink_json_report", sql("""
     SELECT '{"categoria":"' || categoria || '","anio":' || anio || ',"cantidad":' || cantidad || ',"naturaleza":"'
       || naturaleza || '"}' AS value FROM cat_year"""))

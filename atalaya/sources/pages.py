@@ -5,18 +5,17 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StructType
 
 from atalaya.session import file_system, path_exists
+from atalaya.sources.files import arrow_files
 
 MARK = "lote bigint, hasta bigint, filas bigint"
 RETRIES = 5
@@ -76,14 +75,8 @@ class FolderClient(PageClient):
     def __init__(self, path: str, key: str, cols: list[str]):
         self.path, self.key, self.cols, self.groups = path, key, list(cols), {}
 
-    def _files(self) -> tuple[pafs.FileSystem, str]:
-        url = urlparse(self.path)
-        if url.scheme in ("", "file"):
-            return pafs.LocalFileSystem(), url.path
-        return pafs.FileSystem.from_uri(self.path)
-
     def bounds(self):
-        files, inner = self._files()
+        files, inner = arrow_files(self.path)
         for part in ds.dataset(inner, filesystem=files, format="parquet").get_fragments():
             if part.path not in self.groups:
                 stats = [(g.statistics[self.key], g.num_rows) for g in part.row_groups if self.key in (g.statistics or {})]
@@ -122,7 +115,7 @@ class FolderClient(PageClient):
     def pages(self, low, high, places, limit):
         if places:
             key = ds.field(self.key)
-            data = ds.dataset(list(places), filesystem=self._files()[0], format="parquet")
+            data = ds.dataset(list(places), filesystem=arrow_files(self.path)[0], format="parquet")
             for batch in data.to_batches(columns=self.cols, filter=(key > low) & (key <= high), batch_size=limit, batch_readahead=1, fragment_readahead=1):
                 yield pa.Table.from_batches([batch])
 

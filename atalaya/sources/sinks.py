@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atalaya.session import path_exists
+from atalaya.session import file_system, path_exists
 
 
 def write_layer(df: DataFrame | None, path: str, spark: SparkSession | None = None) -> None:
@@ -28,6 +28,34 @@ def write_table(df: DataFrame, table: str, cols: list[str]) -> None:
         rows.write.saveAsTable(table)
 
 
+def load_table(df: DataFrame, table: str, cols: list[str], base: str) -> str:
+    """Load a catalog table whole or not at all: a new version is written beside the old one, then the table points to it.
+
+    Until the last statement the table has its old rows, whatever is lost before it; the version
+    replaced stays for its readers until the next load. A table that exists keeps its columns and
+    types; no rows empty it. One load of a table at a time. Returns the folder of the version.
+    """
+    spark = df.sparkSession
+    exists = spark.catalog.tableExists(table)
+    rows = df.select(*cols)
+    if exists:
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in spark.table(table).schema])
+    found, files = file_system(spark, f"{base}/v*")
+    versions = sorted(status.getPath().toString() for status in files.globStatus(found) or [])
+    new = f"{base}/v{int(versions[-1].rsplit('/v', 1)[1]) + 1 if versions else 1:09d}"
+    rows.write.parquet(new)
+    if not exists:
+        spark.catalog.createTable(table, new, "parquet", rows.schema)
+        return new
+    old = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{new}'")
+    spark.catalog.refreshTable(table)
+    for path in versions:  # versions before the one replaced, and what broken loads left
+        if path.rsplit("/", 1)[1] != old.rsplit("/", 1)[1]:
+            files.delete(file_system(spark, path)[0], True)
+    return new
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, cols: list[str],
                properties: dict[str, str] | None = None, partitions: int = 8) -> None:
     """Truncate and load over a bounded number of connections."""
