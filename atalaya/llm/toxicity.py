@@ -4,7 +4,8 @@ Many voters look at a text: a lexicon of insults, lexicons of words and of word
 labelled rows, and a pattern. A generative label model estimates from the votes on all documents,
 without labels, how often each voter fires on toxic and on clean texts and how voters correlate; one
 that repeats what others say counts for less. Its posterior probabilities are the labels on which a
-linear classifier over the lexicon entries is trained.
+linear classifier over the lexicon entries is trained. As those are cautious, the labelled rows move
+the classifier's intercept to where it takes about as many of them for toxic as are.
 """
 
 from __future__ import annotations
@@ -133,6 +134,25 @@ def fit_linear(rows: list[tuple[list[int], float]], size: int, rounds: int = 200
     return weights
 
 
+def margins(weights: np.ndarray, found: list[list[int]]) -> np.ndarray:
+    owner = np.repeat(np.arange(len(found)), [len(own) for own in found])
+    return np.bincount(owner, weights[np.array([k for own in found for k in own], np.int64)], len(found)) + weights[-1]
+
+
+def break_even(margin: np.ndarray, toxic: np.ndarray) -> float:
+    """The lowest cut, between two margins, above which lie no more rows than are toxic; 0 without a toxic row.
+
+    Rows of one margin stay together, so a margin that too many share, such as that of texts without
+    any entry, lies below the cut. If even the highest does, the cut stays at 0.
+    """
+    values, counts = np.unique(margin, return_counts=True)
+    above = np.cumsum(counts[::-1])[::-1]
+    taken = np.flatnonzero(above <= toxic.sum())
+    if not len(taken) or taken[0] == 0:
+        return 0.0
+    return float((values[taken[0] - 1] + values[taken[0]]) / 2)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text",
                    sample: int = 20_000, lexicon: int = 1_500) -> DataFrame:
     """(`id`, `score`, `predicted`) for every row of `docs`.
@@ -141,6 +161,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     most `lexicon` entries and to fit the classifier; votes are counted over all documents. Rows
     without an id are scored but never learned from. A null or empty text has no entries and gets the
     score of the intercept. Without a toxic label all scores are low. An empty table gives no rows.
+    Repeated rows are scored alike and texts of any length whole; other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
@@ -162,9 +183,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     looked = stored(rows.mapInArrow(look, "id long, found array<int>, votes long"), "votes")
     patterns = {r["votes"]: r["n"] for r in looked.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= 2 ** VOTERS
     posterior, _ = label_model(patterns)
-    chosen = looked.join(F.broadcast(known.select("id")), "id").select("id", "found", "votes").limit(2 * sample)
-    fitted = sorted((r["id"], r["found"], r["votes"]) for r in chosen.collect())
-    weights = fit_linear([(found, posterior[votes]) for _, found, votes in fitted], len(entries))
+    chosen = looked.join(F.broadcast(known), "id").select("id", "found", "votes", "toxic")
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "votes", "found").limit(2 * sample)  # binds only where ids repeat
+    fitted = sorted((r["id"], r["found"], r["votes"], r["toxic"]) for r in chosen.collect())
+    weights = fit_linear([(found, posterior[votes]) for _, found, votes, _ in fitted], len(entries))
+    weights[-1] -= break_even(margins(weights, [f for _, f, _, _ in fitted]), np.array([t for *_, t in fitted]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,21 +15,36 @@ def held(rows, parts, fold):
     return [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % parts == fold]
 
 
-def checked(spark, name, label):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label)
-    out = queries.QUERIES[name](spark, SF)
+def checked(spark, name, label, sf=SF):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label)
+    out = queries.QUERIES[name](spark, sf)
     rows = out.join(labels, "doc_id", "left").collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     return [r for r in rows if r[label] is not None]
 
 
 def test_toxicity(spark):
-    rows = checked(spark, "op4_toxicity", "toxic")
+    """Most held-out toxic texts are found (87 of 97 when this was written), and of those found nine in ten are toxic."""
+    rows = checked(spark, "op4_toxicity", "toxic", "/root/testdata/sf0.1")
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     own = held(rows, 5, 0)
-    assert sum(r.predicted != r.toxic for r in own) <= 0.08 * len(own)
-    assert sum(r.predicted and not r.toxic for r in own) <= 0.02 * len(own)
+    hits = sum(r.predicted and r.toxic for r in own)
+    assert hits >= 0.88 * sum(r.toxic for r in own) and hits >= 0.9 * sum(r.predicted for r in own)
+
+
+def test_toxicity_of_few_labels(spark):
+    own = held(checked(spark, "op4_toxicity", "toxic"), 5, 0)
+    assert sum(r.predicted != r.toxic for r in own) <= 0.03 * len(own)
+    assert not any(r.predicted and not r.toxic for r in own)
+
+
+def test_break_even():
+    margin, toxic = np.array([3.0, 2.0, 2.0, 1.0, -4.0, -4.0, -4.0]), np.array([1, 1, 0, 1, 1, 0, 0])
+    assert toxicity.break_even(margin, toxic) == -1.5
+    assert toxicity.break_even(margin, toxic * 0) == 0.0
+    assert toxicity.break_even(margin, np.array([0, 0, 0, 1, 0, 0, 1])) == 2.5  # both rows at 2 would be one too many
+    assert toxicity.break_even(np.zeros(5), np.ones(5)) == 0.0 and toxicity.break_even(np.zeros(0), np.zeros(0)) == 0.0
 
 
 def test_quality(spark):
