@@ -15,15 +15,27 @@ from atalaya.operators.funnel import eligible_titles
 OUT_OF_SCOPE_CATEGORY = "fuera_alcance"
 
 
-def extract_integers(col: Column) -> Column:
+# The classes of engines whose \d, \s and \b know ASCII only; Java's own differ by version and in \x0B.
+ASCII_CLASSES = {r"\d": "[0-9]", r"\s": r"\t\n\f\r ", r"\b": "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"}
+
+
+def extract_integers(col: Column, ascii_only: bool = False) -> Column:
     """Whole numbers of a text as digits without leading zeros, of any length.
 
     Thousands separators are joined, no-break spaces among them; decimals are not. Digits of other
-    scripts become ASCII ones.
+    scripts become ASCII ones. With `ascii_only` digits, spaces and word characters are those of
+    ASCII, and any other character ends a word.
     """
-    found = F.regexp_extract_all(ascii_digits(col), F.lit("(?U)" + INTEGER_PATTERN), F.lit(0))
+    integer, joint, text = "(?U)" + INTEGER_PATTERN, r"(?U)[.,\s]", ascii_digits(col)
+    if ascii_only:
+        integer, joint, text = _ascii_classes(INTEGER_PATTERN), _ascii_classes(r"[.,\s]"), col
+    found = F.regexp_extract_all(text, F.lit(integer), F.lit(0))
     return F.array_distinct(F.transform(
-        found, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)[.,\s]", ""), r"^0+(?=\d)", "")))
+        found, lambda x: F.regexp_replace(F.regexp_replace(x, joint, ""), r"^0+(?=\d)", "")))
+
+
+def _ascii_classes(pattern: str) -> str:
+    return reduce(lambda p, c: p.replace(*c), ASCII_CLASSES.items(), pattern)
 
 
 def ascii_digits(col: Column) -> Column:

@@ -133,6 +133,23 @@ def test_answers(spark):
     assert ev(ANS.invents_figures(F.lit("hubo 4500"))) and not ev(ANS.invents_figures(F.lit("datos a 2026, 97")))
 
 
+def test_integers_of_odd_documents_equal_sql(spark, tmp_path):
+    """Accents and other scripts beside digits, control characters, numbers around 128 bits, null and long texts."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("1234506 .,_aé\u00a0\x0b\x85\u0663\u2028\n\t$", k=rng.randrange(40))) for _ in range(500)]
+    texts += [None, "", "é5 5é 1\u00a0234", "1\x0b234", "٣٤", str((1 << 127) - 1) + " 7", str(1 << 127) + " 7", "0" * 45 + "5", "1" + " 234" * 100000 + "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in entry.queries()["extract_integers_documents"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = set(con.execute(entry.oracle_sql()["extract_integers_documents"]).fetchall())
+    assert got == want
+
+
 def test_topk_in_blocks_equals_numpy(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(60, 8)).astype("float32")
