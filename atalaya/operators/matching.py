@@ -7,6 +7,7 @@ question to a single row and never to every name that contains it.
 from __future__ import annotations
 
 import difflib
+from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,6 +30,10 @@ def forecast_intent(col: Column) -> Column:
 # Of names that match equally well the one with the smallest `orden` is taken, then the smallest code.
 ORDER = "orden"
 
+# Most variants of a token, and the longest token that has no more when 0, 1, 2... characters are left out.
+VARIANTS = 2000
+LONGEST = [max(n for n in range(gone, VARIANTS + 1) if comb(n, gone) <= VARIANTS) for gone in range(12)]
+
 
 def _ordered(names: DataFrame) -> DataFrame:
     """The name table with an order of preference; without one, codes decide."""
@@ -108,21 +113,54 @@ def _allowed_edits(a: Column, b: Column, cutoff: float, kind: str) -> Column:
     return F.floor(F.lit(1.0 - cutoff) * span + 1e-9).cast("int")
 
 
-def _segments(tokens: DataFrame, column: str, cutoff: float, kind: str, probing: bool) -> DataFrame:
-    """Positional segments for exact candidate generation by the pigeonhole principle.
+def _length_pairs(queries: DataFrame, names: DataFrame, cutoff: float, kind: str) -> DataFrame:
+    """Lengths `a` and `b` of tokens that occur and can reach the cutoff.
+
+    `t` edits are allowed, and `m` characters at least are common to both tokens in order. `few` says
+    that neither token has more than `VARIANTS` ways to leave out all but `m` characters.
+    """
+    own = queries.select(F.length("q_token").alias("a")).distinct()
+    low, high = F.ceil(F.col("a") * (cutoff / (2 - cutoff))), F.floor(F.col("a") * ((2 - cutoff) / cutoff))
+    pairs = own.select("a", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("b"))
+    pairs = pairs.join(names.select(F.length("n_token").alias("b")).distinct(), "b")
+    a, b, t = F.col("a"), F.col("b"), F.col("t")
+    pairs = pairs.withColumn("t", _allowed_edits(a, b, cutoff, kind)).where(F.abs(a - b) <= t)
+    common = F.ceil((a + b - t) / 2) if kind == "gestalt" else F.greatest(a, b) - t
+    pairs = pairs.withColumn("m", common.cast("int")).where((F.col("m") > 0) & (F.col("m") <= F.least(a, b)))
+    most = F.array(*[F.lit(n) for n in LONGEST])
+    few = [F.coalesce(n <= F.get(most, n - F.col("m")), F.lit(False)) for n in (a, b)]
+    return pairs.withColumn("few", few[0] & few[1])
+
+
+def _variants(tokens: DataFrame, column: str, pairs: DataFrame, length: str) -> DataFrame:
+    """What is left of each token when all but `m` characters are left out, in every way.
+
+    Tokens within the cutoff have a common subsequence of `m` characters, so they share a variant;
+    as it is nearly the whole token, few others share it.
+    """
+    rows = tokens.select(column, F.length(column).alias(length)).join(F.broadcast(pairs.where("few")), length)
+
+    def without_one(rests: Column, _: Column) -> Column:
+        shorter = F.transform(rests, lambda x: F.transform(
+            F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+        return F.array_distinct(F.flatten(shorter))
+
+    gone = F.col(length) - F.col("m")
+    rests = F.when(gone == 0, F.array(column)).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.greatest(gone, F.lit(1))), F.array(column), without_one))
+    return rows.select(column, "a", "b", F.explode(rests).alias("trozo"))
+
+
+def _segments(tokens: DataFrame, column: str, pairs: DataFrame, probing: bool) -> DataFrame:
+    """Positional segments of tokens too long for variants, by the pigeonhole principle.
 
     A name token of length b is cut into t + 1 pieces; t edits cannot touch all of them, so an
     acceptable partner holds one piece unchanged, at most t places away. Names emit their own
     pieces, questions emit the substrings that could equal one.
     """
-    low, high = F.ceil(F.length(column) * (cutoff / (2 - cutoff))), F.floor(F.length(column) * ((2 - cutoff) / cutoff))
-    rows = tokens.select(column, F.length(column).alias("_own"),
-                         F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("_other"))
-    a, b = (F.col("_own"), F.col("_other")) if probing else (F.col("_other"), F.col("_own"))
-    rows = rows.select(column, a.alias("a"), b.alias("b"))
-    rows = rows.withColumn("t", _allowed_edits(F.col("a"), F.col("b"), cutoff, kind))
-    rows = rows.where(F.abs(F.col("a") - F.col("b")) <= F.col("t")).withColumn(
-        "k", F.least(F.col("t") + 1, F.col("b")))
+    length = "a" if probing else "b"
+    rows = tokens.select(column, F.length(column).alias(length)).join(F.broadcast(pairs.where("not few")), length)
+    rows = rows.withColumn("k", F.least(F.col("t") + 1, F.col("b")))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     start = F.floor(F.col("i") * F.col("b") / F.col("k")).cast("int")
     stop = F.floor((F.col("i") + 1) * F.col("b") / F.col("k")).cast("int")
@@ -143,12 +181,19 @@ def gestalt_ratio(name: pd.Series, query: pd.Series) -> pd.Series:
                       for a, b in zip(name, query, strict=True)], dtype="float64")
 
 
+def candidate_tokens(queries: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUTOFF, kind: str = "gestalt") -> DataFrame:
+    """Pairs (q_token, n_token) among which are all that reach the cutoff."""
+    asked, known = (cut_lineage(x.distinct()) for x in (queries.select("q_token"), names.select("n_token")))
+    lengths = cut_lineage(_length_pairs(asked, known, cutoff, kind))
+    short = _variants(asked, "q_token", lengths, "a").join(_variants(known, "n_token", lengths, "b"), ["a", "b", "trozo"])
+    long = _segments(asked, "q_token", lengths, True).join(_segments(known, "n_token", lengths, False), ["a", "b", "i", "trozo"])
+    return short.select("q_token", "n_token").unionByName(long.select("q_token", "n_token")).distinct()
+
+
 def similar_tokens(queries: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUTOFF,
                    kind: str = "gestalt") -> DataFrame:
     """Pairs (q_token, n_token, ratio) at or above the cutoff between two distinct vocabularies."""
-    probes = _segments(queries.select("q_token").distinct(), "q_token", cutoff, kind, True)
-    pieces = _segments(names.select("n_token").distinct(), "n_token", cutoff, kind, False)
-    pairs = probes.join(pieces, ["a", "b", "i", "trozo"]).select("q_token", "n_token").distinct()
+    pairs = candidate_tokens(queries, names, cutoff, kind)
     if kind == "gestalt":
         ratio = gestalt_ratio("n_token", "q_token")
     else:

@@ -101,6 +101,28 @@ def test_similar_tokens_equals_all_pairs(spark, kind, cutoff):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("kind", ["gestalt", "levenshtein"])
+def test_candidates_grow_with_the_tokens(spark, kind):
+    """Of two vocabularies of unrelated tokens few pairs are candidates, however long the tokens' lists are."""
+    rnd = random.Random(3)
+    known = {"".join(rnd.choices("ABCDEFGHIJKLMNOP", k=8)) for _ in range(2000)}
+    asked = {"".join(rnd.choices("ABCDEFGHIJKLMNOP", k=rnd.choice([7, 8]))) for _ in range(2000)} | {n[:3] + n[4:] for n in known}
+    q, n = (spark.createDataFrame([(t,) for t in sorted(x)], f"{name} string") for x, name in ((asked, "q_token"), (known, "n_token")))
+    pairs = MT.candidate_tokens(q, n, kind=kind)
+    assert len(known) <= pairs.count() < 1.1 * len(known)
+    assert MT.similar_tokens(q, n, kind=kind).count() >= len(known)
+
+
+def test_long_tokens_equal_all_pairs(spark):
+    """Tokens of 20 to 60 characters, with too many variants for most pairs."""
+    rnd = random.Random(9)
+    known = ["".join(rnd.choices("ABCDE", k=n)) for n in (20, 21, 24, 30, 41, 60)]
+    asked = known + ["".join(rnd.choice("ABCDE") if rnd.random() < 0.12 else c for c in t if rnd.random() > 0.05) for t in known for _ in range(8)]
+    want = {(q, n) for q, n in itertools.product(asked, known) if difflib.SequenceMatcher(None, n, q).ratio() >= 0.82}
+    q, n = (spark.createDataFrame([(t,) for t in x], f"{name} string") for x, name in ((asked, "q_token"), (known, "n_token")))
+    assert {(r.q_token, r.n_token) for r in MT.similar_tokens(q, n).collect()} == want and len(want) > 12
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, ""), (2, "hola   \n\n  mundo\t y  más"), (3, "palabra " * 400), (4, "x y"), (5, "a" * 800)], "id int, text string")
     rows = corpus.chunk(df).collect()
