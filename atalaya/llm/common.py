@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Python tasks of the session take at most so many rows at once, so that batches of whole texts stay at a few MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside the block are deleted at its end, but those stored with `keep`."""

@@ -1,13 +1,14 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-SimHash at a radius its keys can search finds few of the pairs near 0.8, so candidates come from
-MinHash: a text has `BANDS` keys of `ROWS` minima each, and texts that share a key are candidates
+Candidates come from two searches. SimHash fingerprints of the sets, of 64 bits, are linked at 3 or fewer
+differing bits by pigeonring keys (`simhash.near_links`). At a radius those keys can search they find few of
+the pairs near 0.8, so MinHash has to find the rest: a text has `BANDS` keys of `ROWS` minima each, and texts that share a key are candidates
 (a pair at 0.8 shares none with probability (1 - 0.8^4)^20 = 3e-5). Of a candidate pair the sizes and a
 sketch, 16 bits of each of the 80 minima, are looked at next (a pair at 0.8 has fewer than `ENOUGH` equal
 ones with probability 2e-6); only then are its sets of shingles built from the texts and compared.
 
-Texts with equal sets are one node, and links join nodes. First each node of a key meets the key's first
-node. Keys whose nodes are then all connected are done, so thousands of near copies cost one comparison
+Texts with equal sets are one node, and links join nodes. First the nodes that SimHash links meet, and each
+node of a key meets the key's first node. Keys whose nodes are then all connected are done, so thousands of near copies cost one comparison
 each. Where a key holds several components, the nodes outside the first one's meet all of the key's in
 blocks of bounded size: once with sketches, to find the nodes that have a candidate, and once with the
 texts of those. A block returns a forest that joins the components it finds linked, and no pairs.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from atalaya.llm.common import meet, packed, stored, temporary, unpack
 from atalaya.llm.components import components
+from atalaya.llm.simhash import near_links
 
 WIDTH = 5
 LEAST = 0.8
@@ -35,7 +37,7 @@ TURNS = np.random.default_rng(SEED).integers(1 << 63, size=(BANDS * ROWS, 1), dt
 SHARE = 256  # pairs that take the text of one node in one task
 BLOCK = 512  # nodes on one side of a block
 ENOUGH = 46  # equal minima, of 80, that a similar pair has
-NODE = "node long, size long, bands array<long>, sketch array<long>"
+NODE = "node long, size long, fp long, bands array<long>, sketch array<long>"
 
 
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -72,22 +74,32 @@ def sketch_of(least: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(24)).astype("<u2").view("<i8")
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number: a bit is 1 if set in over half of their hashes."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(own), PIECE):
+        part = own[start:start + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view("<i8")[0])
+
+
 def sign(rows: DataFrame, width: int) -> DataFrame:
     """`id`, `h1`, `h2` of the rows with their `NODE`; the node is a hash of the set of shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch, nodes, sizes, bands, sketches = whole.slice(at, 1024), [], [], [], []
+                batch, nodes, sizes, prints, bands, sketches = whole.slice(at, 1024), [], [], [], [], []
                 for raw in batch.column("raw"):
                     own = shingles(raw.as_py(), width)
                     least = minima(own)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                     sizes.append(len(own))
+                    prints.append(fingerprint(own))
                     bands.append(band_keys(least))
                     sketches.append(sketch_of(least))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                     pa.array(sketches, pa.list_(pa.int64()))], ["id", "h1", "h2", "node", "size", "bands", "sketch"])
+                    [*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()),
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "h1", "h2", "node", "size", "fp", "bands", "sketch"])
 
     return rows.select("id", "h1", "h2", "raw").mapInArrow(run, f"id long, h1 long, h2 long, {NODE}")
 
@@ -96,6 +108,16 @@ def unpacked(value: pa.BinaryScalar, width: int) -> np.ndarray:
     return shingles(unpack(value), width)
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (`a`, `b`) of nodes that connect all those whose fingerprints SimHash links or that share one."""
+    fps = stored(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    same = meet(nodes.select("fp", "node"), stored(fps.where("n > 1"), "same-prints"), ["fp"], "n")
+    same = same.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda name: fps.select(F.col("fp").alias(name), F.col("first").alias(f"node_{name}"))
+    linked = near_links(fps.select("fp")).distinct().join(end("a"), "a").join(end("b"), "b")
+    return same.unionByName(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The `pairs` (`a`, `b`) whose sizes and sketches allow the similarity."""
     own = nodes.select("node", "size", "sketch")
@@ -236,12 +258,16 @@ def joined(cells: DataFrame, width: int, least: float) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
-def node_links(nodes: DataFrame, texts: DataFrame, width: int, least: float, block: int) -> DataFrame:
-    """Links (`a`, `b`) that connect the nodes (`NODE`) as all similar candidate pairs do; `texts` has (`node`, packed `raw`)."""
+def node_links(nodes: DataFrame, printed: DataFrame, texts: DataFrame, width: int, least: float, block: int) -> DataFrame:
+    """Links (`a`, `b`) that connect the nodes (`NODE`) as all similar candidate pairs do.
+
+    `printed` has the pairs that SimHash found, `texts` has (`node`, packed `raw`) of all that have a candidate.
+    """
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     first = keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(meet(keys, stored(first, "firsts"), ["key"], "n").select("key", "band", "first", "node"), "shared")
-    pairs = stored(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = stored(pairs.unionByName(printed).distinct(), "pairs")
     links = stored(verified(stored(likely(pairs, nodes, least), "likely"), texts, width, least), "links")
 
     labels = stored(components(links), "labels")
@@ -257,15 +283,18 @@ def node_links(nodes: DataFrame, texts: DataFrame, width: int, least: float, blo
 def near_classes(rows: DataFrame, width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(`id`, `h1`, `h2`, `root`) for rows of (`id`, `h1`, `h2`, `raw`); rows are near copies if their roots are equal."""
     signed = stored(sign(rows, width), "sets")
-    nodes = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "bands", "sketch", "h1", "h2")))
+    nodes = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "fp", "bands", "sketch", "h1", "h2")))
     nodes = stored(nodes, "nodes")
     shared = nodes.select("node", F.explode("bands").alias("key"))
     keys = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only texts that share a key with another are compared; one row stands for its node.
-    some = meet(shared, stored(keys, "keys"), ["key"], "n").select("node").distinct().join(nodes.select("node", "h1", "h2"), "node")
+    printed = stored(print_pairs(nodes), "print-pairs")
+    # Only texts that share a key with another or are linked by SimHash are compared; one row stands for its node.
+    some = meet(shared, stored(keys, "keys"), ["key"], "n").select("node")
+    some = some.unionByName(printed.select(F.explode(F.array("a", "b")).alias("node")))
+    some = some.distinct().join(nodes.select("node", "h1", "h2"), "node")
     texts = packed(rows.select("h1", "h2", "raw")).dropDuplicates(["h1", "h2"]).join(stored(some, "some"), ["h1", "h2"])
     texts = stored(texts.select("node", "raw"), "texts")
-    roots = components(node_links(nodes, texts, width, least, block))
+    roots = components(node_links(nodes, printed, texts, width, least, block))
     return signed.join(roots, "node", "left").select("id", "h1", "h2", F.coalesce("root", "node").alias("root"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atalaya.llm import exact_dedup as dedup, jaccard, langid, mixing, packing
-from atalaya.llm.common import stored, table
+from atalaya.llm.common import small_batches, stored, table
 from atalaya.llm.queries import MIX_SEED, MIX_SHARE, MIX_WEIGHTS, tokenizer_files
 
 #: A text is rejected if it has no letter or if its main language covers less than this share of its letters.
@@ -18,6 +18,7 @@ MIN_LANG_SHARE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in which no language covers half of the letters."""
+    small_batches(spark)
     tagged = langid.tag(docs, langid.train(docs))
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANG_SHARE)
     return tagged.where(sure).select(docs.columns)
@@ -29,7 +30,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles in common) stays: the one with the smallest doc_id."""
+    """One document of each group of near copies (0.8 of five-word shingles in common) stays: the one with the smallest doc_id.
+
+    SimHash fingerprints and their pigeonring keys bring pairs together, MinHash those that differ in more bits; exact Jaccard decides.
+    """
+    small_batches(spark)
     return jaccard.drop_near_copies(docs)
 
 
@@ -40,6 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, each with its sequence and offset."""
+    small_batches(spark)
     return packing.pack_documents(docs, *tokenizer_files()).withColumnRenamed("id", "doc_id")
 
 

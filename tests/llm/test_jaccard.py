@@ -92,6 +92,23 @@ def test_likely_pairs_equal_in_both_forms(spark):
     assert got == want and 0 < len(want) < len(pairs)
 
 
+def test_simhash_brings_pairs_together(spark, monkeypatch):
+    """Without any MinHash key in common the pairs within three bits are still found and checked."""
+    rnd = random.Random(8)
+    texts = [" ".join(t) for k in range(30) for base in [[f"a{k}x{j}" for j in range(400)]] for t in (base, edited(rnd, base, 1), edited(rnd, base, 2))]
+    rows = spark.createDataFrame([(i, i, i, bytearray(t, "utf8")) for i, t in enumerate(texts)], "id long, h1 long, h2 long, raw binary")
+    nodes = common.stored(jaccard.sign(rows, 5), "t")
+    fps = {r.node: r.fp % (1 << 64) for r in nodes.collect()}
+    links = [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 3]
+    want = roots(links, fps)
+    pairs = [tuple(sorted(r)) for r in jaccard.print_pairs(nodes).collect()]
+    assert len(links) > 20 and roots(pairs, fps) == want
+    nodes = common.stored(nodes.drop("bands").selectExpr("*", "array(node) AS bands"), "t")
+    monkeypatch.setattr(jaccard, "sign", lambda *a: nodes)
+    classes = {r.id: r.root for r in jaccard.near_classes(rows).collect()}
+    assert len(texts) - len(set(classes.values())) == len(fps) - len(set(want.values()))
+
+
 def test_odd_documents(odd_docs, no_docs):
     kept = jaccard.drop_near_copies(odd_docs)
     assert kept.columns == odd_docs.columns
