@@ -91,3 +91,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.lang, r.text) for r in odd_docs.collect()]
     got = phrases.collocations(odd_docs, least=2, top=50).collect()
     assert sorted(map(tuple, got)) == slow(rows, 2, 50) and phrases.collocations(no_docs).count() == 0
+
+
+def test_only_phrases_of_frequent_parts_are_spelled(spark, monkeypatch):
+    """Beyond the numbered words a phrase is counted by its text only if its parts are frequent, but for chance hits of the bit map."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = [("en", " ".join(rnd.choices(vocabulary, [1 / (k + 1) for k in range(4000)], k=40))) for _ in range(1500)]
+    sent, plain = {}, phrases.runs
+
+    def watched(texts, numbers, width, parts):
+        found = plain(texts, numbers, width, parts)
+        runs = [phrases.zstandard.ZstdDecompressor().decompress(r.run) for r in found.where("part % 2 = 1").collect()]
+        sent[width] = sum(int.from_bytes(run[:8], "little") for run in runs)
+        return found
+
+    monkeypatch.setattr(phrases, "runs", watched)
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = phrases.collocations(docs, least=20, top=5000, words=50, phrases=40)
+    assert sorted(map(tuple, got.collect())) == slow(rows, 20, 5000)
+    counts = [Counter(tuple(words[k:k + m]) for words in (text.split() for _, text in rows) for k in range(len(words) - m + 1)) for m in range(1, 5)]
+    for width in (2, 3, 4):
+        shorter = counts[width - 2]
+        able = sum(shorter[p[1:]] >= 20 and shorter[p[:-1]] >= 20 for p in counts[width - 1])
+        assert sent[width] <= able + 0.2 * len(counts[width - 1]) < len(counts[width - 1]), width
+    assert sent[2] > 0
