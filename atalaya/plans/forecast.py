@@ -25,6 +25,9 @@ from atalaya.session import cut_lineage, path_exists
 # What makes a model: an estimator of Spark ML, or a ridge regression solved from sums by month.
 Factory = Callable[[], Estimator] | Ridge
 
+# Rows of a prepared panel in a task.
+ROWS_A_TASK = 50_000
+
 # Rounds of the shuffle of row numbers.
 SHUFFLE_ROUNDS = 16
 
@@ -72,6 +75,7 @@ class Prepared:
     mode: str
     features: list[str]
     first_year: int
+    tasks: int | None = None  # the partitions of `rows`, where they were dealt by their number
     _sums: Moments | None = field(default=None, repr=False)
 
     def trainable(self) -> DataFrame:
@@ -89,6 +93,10 @@ def prepare_panel(panel: DataFrame, min_nonzero: int = 12) -> Prepared:
     needed = [*SERIES_KEY, "periodo", "cantidad", *(["poblacion"] if has_population else [])]
     # Stored once: the target mode, the trend origin and the features all read it.
     panel = cut_lineage(active_series(panel.select(*needed), min_nonzero))
+    # Fits and recursions run hundreds of jobs over these rows, so they take as many tasks as the rows need,
+    # not as many as the events were shuffled to.
+    tasks = max(1, -(-panel.count() // ROWS_A_TASK))
+    panel = panel.repartition(tasks, *SERIES_KEY)
     target, mode = modeling_target(panel)
     names = feature_names(has_population, mode == "rate")
     rows = make_features(target, y="objetivo")
@@ -97,7 +105,7 @@ def prepare_panel(panel: DataFrame, min_nonzero: int = 12) -> Prepared:
         keep.append("poblacion")
     rows = cut_lineage(rows.select(*keep, *[c for c in names if c not in keep]))
     first_year = rows.agg(F.min(F.year("periodo"))).first()[0]
-    return Prepared(rows, mode, names, first_year)
+    return Prepared(rows, mode, names, first_year, tasks)
 
 
 def _assembled(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -122,13 +130,14 @@ def series_state(prepared: Prepared, before: date | None = None) -> DataFrame:
     if before is not None:
         rows = rows.where(F.col("periodo") < F.lit(before))
     population = F.max_by("poblacion", "periodo") if "poblacion" in rows.columns else F.lit(None).cast("double")
-    return rows.groupBy(*SERIES_KEY).agg(
+    state = rows.groupBy(*SERIES_KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("periodo", "objetivo"))),
                     lambda p: p.getField("objetivo")).alias("_all"),
         F.count(F.lit(1)).cast("double").alias("meses"), F.max("periodo").alias("ultimo"),
         F.max_by("cantidad", "periodo").cast("double").alias("persistencia"),
         population.cast("double").alias("poblacion"),
     ).withColumn("hist", _tail(F.col("_all"))).drop("_all")
+    return state.coalesce(prepared.tasks) if prepared.tasks else state
 
 
 def _tail(values: Column, keep: int = HIST_WINDOW + 1) -> Column:
@@ -355,7 +364,7 @@ def shocked_forecast(fitted: Forecaster, code: str, pct: float, horizon: int = 6
     if base.mode == "rate":
         rows = rows.withColumn("objetivo", to_rate(F.col("cantidad"),
                                                    F.coalesce(F.col("poblacion"), F.lit(1e5))))
-    return forecast(fitted, horizon, prepared=Prepared(rows, base.mode, base.features, base.first_year))
+    return forecast(fitted, horizon, prepared=Prepared(rows, base.mode, base.features, base.first_year, base.tasks))
 
 
 def shuffled_place(place: Column, n: int, *keys: Column, rounds: int = SHUFFLE_ROUNDS) -> Column:

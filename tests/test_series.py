@@ -45,6 +45,24 @@ def eight(spark):
     return panel_of(spark, series, population=people)
 
 
+@pytest.mark.parametrize("rows_a_task,tasks", [(50_000, 1), (100, 4)])
+def test_tasks_of_a_panel_follow_its_rows(spark, eight, monkeypatch, rows_a_task, tasks):
+    """Not the number of shuffle partitions, which grows with the events behind the panel."""
+    monkeypatch.setattr(FC, "ROWS_A_TASK", rows_a_task, raising=False)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        prepared = FC.prepare_panel(eight)
+        state = FC.series_state(prepared, date(2022, 1, 1))
+        assert prepared.rows.count() == 8 * 48 and prepared.rows.rdd.getNumPartitions() == tasks
+        assert state.count() == 8 and state.rdd.getNumPartitions() <= tasks
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_features_use_only_the_past(spark):
     p = panel_of(spark, {("1", "A"): range(24)}, (2020, 1))
     rows = {r.periodo: r for r in W.make_features(p).collect()}
